@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import find_contamination
 from .linededup import drop_boilerplate
+from .simhash import near_duplicates
 from .tokencount import count_tokens
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +37,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_boilerplate(table(spark, sf_dir, "documents"), counts=True)
     return cleaned.select("doc_id", "source", "n_lines", "n_dropped", "text")
@@ -46,6 +52,7 @@ QUERIES = {
     for f in (
         op3_token_counts,
         op4_benchmark_decontamination,
+        op7_simhash_near_dedup,
         op9_line_dedup,
     )
 }
