@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_contamination
+from .langid import identify, page_columns, train
 from .linededup import drop_boilerplate
 from .simhash import near_duplicates
 from .tokencount import count_tokens
@@ -37,6 +38,32 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents declare a language in ``lang``; their host is ``source``."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text", "lang", "source"), train(docs), declared=F.col("lang"), host=F.col("source"))
+    return found.select(
+        "doc_id",
+        F.col("lang").alias("declared"),
+        F.col("__langid_lang").alias("language"),
+        F.col("__langid_posterior").alias("posterior"),
+        F.col("__langid_letters").alias("letter_share"),
+        F.col("__langid_accepted").alias("accepted"),
+    )
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fusion over pages, with markup language, address suffix and host."""
+    pages = page_columns(table(spark, sf_dir, "pages"))
+    found = identify(
+        pages, train(table(spark, sf_dir, "documents")), declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix")
+    )
+    return found.select(
+        "page_id", "host", "declared", F.col("__langid_lang").alias("language"),
+        F.col("__langid_posterior").alias("posterior"), F.col("__langid_accepted").alias("accepted"),
+    )
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,8 +79,10 @@ QUERIES = {
     for f in (
         op3_token_counts,
         op4_benchmark_decontamination,
+        op6_language_id,
         op7_simhash_near_dedup,
         op9_line_dedup,
+        page_language,
     )
 }
 
