@@ -24,6 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
+#: Up to this measured size the boilerplate of all hosts goes to every executor;
+#: beyond it the join is dealt by host, and Spark splits what is hot.
+BROADCAST_BYTES = 32 << 20
 _BLANK = r"^\s*$"
 _OWN = "__linededup_"
 
@@ -68,9 +73,14 @@ def drop_boilerplate(
     docs: DataFrame, host: str = "source", ratio: float = 0.1, min_pages: int = 3, counts: bool = False
 ) -> DataFrame:
     """``docs`` without boilerplate lines; with ``counts`` also n_lines and n_dropped."""
-    found = boilerplate(docs, host, ratio, min_pages).select(
-        F.col("host").alias(f"{_OWN}host"), F.col("keys").alias(f"{_OWN}keys")
+    found = materialize(
+        boilerplate(docs, host, ratio, min_pages).select(
+            F.col("host").alias(f"{_OWN}host"), F.col("keys").alias(f"{_OWN}keys")
+        )
     )
+    size = found.agg(F.sum(F.octet_length(f"{_OWN}host") + 32 * F.size(f"{_OWN}keys"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        found = F.broadcast(found)
     joined = docs.join(
         found, F.coalesce(docs[host].cast("string"), F.lit("")) == found[f"{_OWN}host"], "left"
     )
