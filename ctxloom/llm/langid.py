@@ -175,7 +175,7 @@ def identify(
     declared_trust: float = 0.9,
     suffix_trust: float = 0.7,
     prior_rows: float = 20.0,
-    min_letters: float = 0.2,
+    min_letters: float = 0.35,
     min_posterior: float = 0.5,
     accepted: list[str] | None = None,
 ) -> DataFrame:

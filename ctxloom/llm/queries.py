@@ -15,12 +15,17 @@ from .common import table
 from .decontaminate import find_contamination
 from .langid import identify, page_columns, train
 from .linededup import drop_boilerplate
+from .packing import pack
 from .simhash import near_duplicates
 from .tokencount import count_tokens
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -77,6 +82,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_best_fit_packing,
         op3_token_counts,
         op4_benchmark_decontamination,
         op6_language_id,
