@@ -8,7 +8,7 @@ operator's own output.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -16,6 +16,7 @@ from .decontaminate import find_contamination
 from .langid import identify, page_columns, train
 from .linededup import drop_boilerplate
 from .packing import pack
+from .secretscan import scan_secrets
 from .simhash import near_duplicates
 from .tokencount import count_tokens
 
@@ -26,6 +27,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    return scanned.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(_joined(F.filter("found", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"),
+        _joined(F.col("found")).alias("spans"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -83,6 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_secret_scan,
         op3_token_counts,
         op4_benchmark_decontamination,
         op6_language_id,
