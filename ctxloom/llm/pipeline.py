@@ -1,27 +1,66 @@
-"""Stages of the corpus pipeline, each over all that its predecessor kept."""
+"""Stages of the corpus pipeline, each over all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir), and all but the last return the columns
+of ``docs``; what one returns is written as Parquet and read as the next one's
+docs. The stages that drop documents are language ID (rejected documents), near
+duplicates (all but the first of a component) and benchmarks (documents with a
+hit); line dedup shortens texts, and packing places what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .decontaminate import drop_contaminated
+from .langid import accept, train
 from .linededup import drop_boilerplate
+from .packing import pack
+from .queries import VOCABULARY
+from .simhash import keep_one
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the fused evidence settles; ``lang`` is what they declare."""
+    return accept(docs, train(docs), declared=F.col("lang"), host=F.col("source"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the boilerplate lines of their source."""
     return drop_boilerplate(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each component of near copies."""
+    return keep_one(docs)
+
+
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("line_dedup", lines), ("decontamination", benchmarks)]
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents and their places in training sequences."""
+    return pack(docs, VOCABULARY)
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", lines),
+    ("near_dedup", near_copies),
+    ("decontamination", benchmarks),
+    ("packing", sequences),
+]
+
+#: SQL expresses neither trained models nor components nor packing; tests hold the
+#: stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents below ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))

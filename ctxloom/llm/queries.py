@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .chatformat import format_conversations, read_back, read_loss
 from .common import arrow_map, strings, table, values
 from .decontaminate import find_contamination
+from .fingerprint import neighbour_report
 from .langid import identify, page_columns, train
 from .linededup import drop_boilerplate
 from .packing import pack
@@ -78,6 +79,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_report(table(spark, sf_dir, "documents"))
+
+
 def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fusion over pages, with markup language, address suffix and host."""
     pages = page_columns(table(spark, sf_dir, "pages"))
@@ -141,6 +146,7 @@ QUERIES = {
         op7_simhash_near_dedup,
         op8_chat_formatting,
         op9_line_dedup,
+        op10_document_fingerprints,
         page_language,
     )
 }
