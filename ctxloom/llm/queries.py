@@ -22,6 +22,7 @@ from .linededup import drop_boilerplate
 from .packing import pack
 from .secretscan import scan_secrets
 from .simhash import near_duplicates
+from .substrings import remove_repeats
 from .tokencount import count_tokens
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +66,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents declare a language in ``lang``; their host is ``source``."""
     docs = table(spark, sf_dir, "documents")
@@ -142,6 +147,7 @@ QUERIES = {
         op2_secret_scan,
         op3_token_counts,
         op4_benchmark_decontamination,
+        op5_suffix_dedup,
         op6_language_id,
         op7_simhash_near_dedup,
         op8_chat_formatting,
