@@ -44,6 +44,8 @@ _CHUNK = 1 << 16
 SEED = 42
 #: Estimated costs: of shuffling and sorting a key, and of comparing a pair.
 KEY_COST, PAIR_COST = 20.0, 0.05
+#: Up to this measured size the ids that stay go to every executor; beyond it texts meet them by id.
+BROADCAST_BYTES = 32 << 20
 #: Buckets stop being dealt anew when this few bits may still differ.
 LAST_BITS = 12
 
@@ -315,7 +317,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
         .select(F.col("doc_id").alias("__first_id"), F.col("n").alias("__rows"))
     )
     own = F.col("doc_id").eqNullSafe(F.col("__first_id"))
-    once = docs.join(first.filter("__rows = 1"), own, "left_semi")
+    alone = first.filter("__rows = 1")
+    if first.count() * 16 <= BROADCAST_BYTES:
+        alone = F.broadcast(alone)
+    once = docs.join(alone, own, "left_semi")
     again = first.filter("__rows > 1")
     if again.isEmpty():
         return once
