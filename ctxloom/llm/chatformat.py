@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .template import Template
 
 START, BODY, END = "<|start|>", "<|body|>", "<|end|>"
@@ -78,6 +79,7 @@ def read_loss(formatted: str, spans: Iterable[tuple[int, int]]) -> list[str]:
 
 def format_conversations(rows: DataFrame, template: str = DEFAULT_TEMPLATE, batch_chars: int = 4 << 20) -> DataFrame:
     """conv_id, n_turns, ``formatted`` and ``loss_spans`` of each conversation."""
+    bound_batches(rows.sparkSession)
     ddl = "conv_id long, n_turns long, formatted string, loss_spans array<struct<start:long,end:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts are large: this many bytes, and not a number of rows, bound what a task holds at once.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES, unless it is lower already."""
+    now = spark.conf.get(_BATCH_CONF, None)
+    if now is None or not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
@@ -61,6 +73,7 @@ def arrow_map(
     ``make`` runs once in each task and returns the function for its batches, so
     that indexes and models are built in the worker and not once per batch.
     """
+    bound_batches(df.sparkSession)
     if isinstance(schema, str):
         schema = schema_of(schema)
     names = schema.names

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 BUCKETS = 1 << 16
 BROADCAST_BYTES = 32 << 20
@@ -180,6 +180,7 @@ def identify(
     accepted: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` and the columns __langid_lang, __langid_posterior and __langid_accepted."""
+    bound_batches(docs.sparkSession)
     languages = model.languages
     blank = F.lit("")
     own = {

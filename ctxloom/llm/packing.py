@@ -55,7 +55,7 @@ class Encoder:
     """Token ids of a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         to_byte, special = byte_symbols(), {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -66,6 +66,10 @@ class Encoder:
         if merged == sorted(merged):  # ids in the order of merges: one rank serves for both
             self.fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> list[int]:
         if self.fast is not None and _PLAIN.fullmatch(text):
             return self.fast.encode(text, allowed_special="all")
