@@ -15,6 +15,12 @@ def ordered(order: list[str], value: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], value.alias("__v")))), lambda x: x["__v"])
 
 
+def ordered_rows(order: str, value: Column) -> Column:
+    """As ``ordered`` by one column, for values that have no order of their own."""
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), value.alias("v"))), by_key), lambda x: x["v"])
+
+
 def first_n(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group; Spark limits the groups before the exchange."""
     ranked = rows.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(*order)))

@@ -123,7 +123,7 @@ def assemble(inputs: Inputs, options: Options, generated_at: str | None = None)
     )
     body = row.agg(
         F.coalesce(lanes.ordered(["ord"], F.col("path")), F.array()).alias("changedFiles"),
-        F.coalesce(lanes.ordered(["ord"], entry), F.array()).cast(schemas.BUNDLE["files"].dataType).alias("files"),
+        F.coalesce(lanes.ordered_rows("ord", entry).cast(schemas.BUNDLE["files"].dataType), F.array().cast(schemas.BUNDLE["files"].dataType)).alias("files"),
     )
     counts = index.agg(F.count(F.lit(1)).alias("indexed")).join(edges.agg(F.count_if(F.col("kind") == "internal").alias("internal")))
     counted = inputs.embedding_counters
