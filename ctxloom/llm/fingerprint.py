@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialize, schema_of, text_or_empty
 
 RANGE_BYTES, MAX_RANGES = 8 << 20, 1 << 16
+#: Up to this measured size the repeated buckets go to every executor.
+BROADCAST_BYTES, ROW_BYTES, SALTS = 32 << 20, 100, 32
 _WHITE = r"[\s\p{Z}\x85]"
 #: Runs of white space other than a lone space.
 _RUN = rf" ?[\s\p{{Z}}\x85&&[^ ]]{_WHITE}*| {{2}}{_WHITE}*"
@@ -76,7 +78,12 @@ def exact_groups(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     buckets = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lone_id"))
     repeated = materialize(buckets.filter("n > 1").select("fp"))
     canon = docs.select("doc_id", canonical(text_or_empty()).alias("canon")).withColumn("fp", digest(F.col("canon")))
-    members = canon.join(_sized(repeated, 40), "fp", "left_semi")
+    if repeated.count() * ROW_BYTES <= BROADCAST_BYTES:
+        members = canon.join(F.broadcast(repeated), "fp", "left_semi")
+    else:  # a bucket of very many copies is dealt over all salts
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        members = canon.withColumn("salt", salt).join(salted, ["fp", "salt"], "left_semi").drop("salt")
     groups = materialize(
         members.groupBy("fp", "canon")
         .agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
@@ -87,7 +94,7 @@ def exact_groups(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     plain = groups if collided.isEmpty() else groups.join(collided, "fp", "left_anti")
     plain = plain.select("fp", "group_id", "group_size")
     lone = buckets.filter("n = 1").select("fp", F.col("lone_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"))
-    out = marked.join(plain.unionByName(lone), "fp")
+    out = marked.join(materialize(plain.unionByName(lone)), "fp")
     if collided.isEmpty():
         return out
     apart = members.join(collided, "fp", "left_semi").select("doc_id", "fp", F.sha2("canon", 512).alias("canon"))
@@ -95,11 +102,6 @@ def exact_groups(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     return out.unionByName(marked.join(collided, "fp", "left_semi").join(ids, ["doc_id", "fp"]), allowMissingColumns=True)
 
 
-def _sized(frame: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
-    """A hint to broadcast a materialized frame if its measured size is small."""
-    return F.broadcast(frame) if frame.count() * row_bytes <= most else frame
-
-
 def _count_over(bounds: list[int], value: Column, step: int) -> Column:
     """How many of the descending ``bounds`` are greater than ``value``; null: all."""
     above = lambda part: F.size(F.filter(part, lambda b: b > value))

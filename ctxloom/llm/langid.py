@@ -3,8 +3,8 @@
 log P(lang | all) = text likelihood + declared language + address suffix + host prior + const
 
 * Text: naive Bayes over hashed byte trigrams of the whole text, trained on a
-  bounded sample of labelled rows (``per_language`` rows of each language, those
-  with the smallest hashes of their ids). Neighbouring trigrams overlap, so the
+  bounded sample of labelled rows (``per_language`` rows of each language, taken
+  by the hashes of their ids). Neighbouring trigrams overlap, so the
   likelihood counts a third.
 * Declared markup language: right with probability ``declared_trust``.
 * Address suffix: country-code suffixes name a language with probability
@@ -77,31 +77,27 @@ class Model:
 
 
 def train(docs: DataFrame, per_language: int = 500, label: str = "lang", max_languages: int = 64) -> Model:
-    """A model of the labelled rows with the smallest hashed ids of each language.
+    """A model of a sample of the labelled rows, taken by the hashes of their ids.
 
-    Bounds: ``per_language`` rows of each of the ``max_languages`` most frequent
-    languages; texts are read one at a time and only counts are kept.
+    Bounds: ``per_language`` rows in the mean, and twice as many at most, of each of
+    the ``max_languages`` most frequent languages; texts are read one at a time and
+    only counts are kept.
     """
     labelled = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
     common = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(max_languages).collect()
     languages = sorted(r[0] for r in common)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
-    rank = f"row_number() OVER (PARTITION BY `{label}` ORDER BY h)"
-    picked = (
-        labelled.select(F.col(label), F.xxhash64("doc_id").alias("h"))
-        .withColumn("r", F.expr(rank))
-        .filter(F.col("r") <= per_language)
-        .groupBy(label)
-        .agg(F.max("h").alias("h"))
-        .collect()
-    )
     chosen = F.lit(False)
-    for lang, h in picked:
-        if lang in languages:
-            chosen = chosen | ((F.col(label) == lang) & (F.xxhash64("doc_id") <= h))
+    for lang, n in common:
+        below = -(1 << 63) + int(min(1.0, per_language / n) * (1 << 64)) - 1
+        chosen = chosen | ((F.col(label) == lang) & (F.xxhash64("doc_id") <= F.lit(below)))
     counts = np.zeros((len(languages), BUCKETS))
+    seen = dict.fromkeys(languages, 0)
     for lang, text in labelled.filter(chosen).select(label, "text").toLocalIterator():
+        seen[lang] += 1
+        if seen[lang] > 2 * per_language:  # ids that repeat can share a hash
+            continue
         for grams in _pieces(text.encode()):
             counts[languages.index(lang)] += np.bincount(grams, minlength=BUCKETS)
     return Model(languages, counts)
@@ -189,7 +185,8 @@ def identify(
         "suffix": F.lower(F.coalesce(suffix.cast("string"), blank)) if suffix is not None else blank,
         "evidence": text_evidence(model, text),
     }
-    scored = docs.select(*docs.columns, *(c.alias(_OWN + n) for n, c in own.items()))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    scored = docs.select(*kept, *(c.alias(_OWN + n) for n, c in own.items()))
     if not languages:
         fused = F.lit(None).cast("array<double>")
         joined = scored
@@ -218,7 +215,7 @@ def identify(
     lang = F.element_at(names, F.array_position(post, best).cast("int")) if languages else F.lit(None).cast("string")
     fine = (share >= min_letters) & (share > 0) & (best >= min_posterior) & (lang.isin(accepted) if accepted is not None else F.lit(True))
     return joined.select(
-        *docs.columns,
+        *kept,
         lang.alias(f"{_OWN}lang"),
         best.alias(f"{_OWN}posterior"),
         F.coalesce(fine, F.lit(False)).alias(f"{_OWN}accepted"),
@@ -228,7 +225,7 @@ def identify(
 
 def accept(docs: DataFrame, model: Model, **options) -> DataFrame:
     """The documents that language ID accepts, with all their columns."""
-    return identify(docs, model, **options).filter(F.col(f"{_OWN}accepted")).select(*docs.columns)
+    return identify(docs, model, **options).filter(F.col(f"{_OWN}accepted")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def page_columns(pages: DataFrame) -> DataFrame:

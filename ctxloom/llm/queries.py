@@ -136,8 +136,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = drop_boilerplate(table(spark, sf_dir, "documents"), counts=True)
-    return cleaned.select("doc_id", "source", "n_lines", "n_dropped", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return drop_boilerplate(docs, counts=True).select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
 QUERIES = {

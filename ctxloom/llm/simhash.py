@@ -45,7 +45,7 @@ SEED = 42
 #: Estimated costs: of shuffling and sorting a key, and of comparing a pair.
 KEY_COST, PAIR_COST = 20.0, 0.05
 #: Up to this measured size the ids that stay go to every executor; beyond it texts meet them by id.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 100
 #: Buckets stop being dealt anew when this few bits may still differ.
 LAST_BITS = 12
 
@@ -278,7 +278,8 @@ def connected(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join's sides are plain exchanges and Spark can split the centre of a large star
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -300,7 +301,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(linked.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    known = materialize(linked.join(ids, "root").select("fp", "component_id"))
+    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
@@ -318,7 +320,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     )
     own = F.col("doc_id").eqNullSafe(F.col("__first_id"))
     alone = first.filter("__rows = 1")
-    if first.count() * 16 <= BROADCAST_BYTES:
+    if first.count() * ROW_BYTES <= BROADCAST_BYTES:
         alone = F.broadcast(alone)
     once = docs.join(alone, own, "left_semi")
     again = first.filter("__rows > 1")
