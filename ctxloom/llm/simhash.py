@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, materialize, utf8, values
 
@@ -293,7 +294,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket_limit: int = 2048) -> DataFrame:
-    """doc_id, fp (signed) and component_id of every document."""
+    """doc_id, fp (signed), component_id and root (the component's smallest fingerprint) of every document."""
     marked = materialize(fingerprints(docs, shingle))
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected(near_links(classes.select("fp"), distance, bucket_limit))
@@ -301,29 +302,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = materialize(linked.join(ids, "root").select("fp", "component_id"))
-    return marked.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = materialize(linked.join(ids, "root").select("fp", "component_id", "root"))
+    return marked.join(known, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
+    """All columns and the fingerprint as __fp."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> dict:
+            found = np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], np.uint64)
+            return dict(zip(batch.schema.names, batch.columns, strict=True)) | {"__fp": pa.array(found.view(np.int64))}
+
+        return each
+
+    return arrow_map(docs, make, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """The documents of which each is the first of its component, with all their columns.
 
-    Of rows that share the id of a component's first document, or of a component
-    without ids, one stays.
+    Documents whose id is theirs alone are told apart by it. Rows that share an id, or
+    have none, are told apart by their fingerprints as well, and of several that could
+    stand for a component one stays.
     """
     found = near_duplicates(docs, shingle, distance)
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("__first_fp"))
+    shared = (F.col("__rows") > 1) | F.col("__first_id").isNull()
     first = materialize(
-        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("doc_id", "component_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"))
-        .select(F.col("doc_id").alias("__first_id"), F.col("n").alias("__rows"))
+        first.withColumnsRenamed({"doc_id": "__first_id", "root": "__root"})
+        .join(rows, F.col("__first_id").eqNullSafe(F.col("doc_id")))
+        .select("__first_id", "__first_fp", "__root", shared.alias("__shared"))
     )
     own = F.col("doc_id").eqNullSafe(F.col("__first_id"))
-    alone = first.filter("__rows = 1")
+    alone = first.filter("not __shared").select("__first_id")
     if first.count() * ROW_BYTES <= BROADCAST_BYTES:
         alone = F.broadcast(alone)
     once = docs.join(alone, own, "left_semi")
-    again = first.filter("__rows > 1")
+    again = first.filter("__shared")
     if again.isEmpty():
         return once
-    return once.unionByName(docs.join(again, own, "left_semi").dropDuplicates(["doc_id"]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = _with_fingerprint(docs.join(again.select("__first_id").distinct(), own, "left_semi"), shingle)
+    chosen = several.join(again, own & (F.col("__fp") == F.col("__first_fp"))).dropDuplicates(["__root"]).select(*columns)
+    return once.unionByName(chosen)
