@@ -15,12 +15,15 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..operators import audit as A
 from ..operators import buckets as B
+from ..operators import extract
 from ..operators import graph as G
 from ..operators import lanes as L
 from ..operators import resolve as R
 from ..operators import similarity as S
 from ..sources import diff as D
 from ..sources import embeddings as E
+from ..sources import tree
+from . import render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -147,13 +150,14 @@ def vec3_content_key(spark, sf_dir):
 
 @query(
     """WITH k AS (SELECT doc_id, substring(text, 1, 5000) AS s FROM documents WHERE length(text) > 0),
- c AS (SELECT DISTINCT s FROM k WHERE doc_id % 2 = 0)
+ c AS (SELECT DISTINCT s FROM k JOIN labels USING (doc_id))
  SELECT count(c.s)::BIGINT AS hits, (count(*) - count(c.s))::BIGINT AS misses FROM k LEFT JOIN c USING (s)"""
 )
 def jn14_cache_probe(spark, sf_dir):
-    """JN14, AG14: documents against a cache that holds those of even ids."""
+    """JN14, AG14: documents against a cache that holds the labelled ones."""
     files = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    held = files.filter("path % 2 = 0 and length(content) > 0")
+    labelled = t(spark, sf_dir, "labels").select(F.col("doc_id").alias("path")).distinct()
+    held = files.filter("length(content) > 0").join(labelled, "path", "left_semi")
     cache = held.select(F.lit("m").alias("model"), S.content_key("m", F.col("content")).alias("key"), F.array(F.lit(0.0)).alias("vec"))
     return E.counters(E.probe(files, cache, "m"))
 
@@ -434,14 +438,14 @@ def jn3_alias_targets(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SQL_FILES}, c AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM files WHERE doc_id % 12 IN (1, 3, 5, 6) UNION SELECT 'apps' UNION SELECT ''),
+    f"""WITH {_SQL_FILES}, c AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM files WHERE path LIKE '%/src/%' OR path LIKE '%/react/%' UNION SELECT 'apps' UNION SELECT ''),
  a AS (SELECT path, array_to_string(string_split(path, '/')[1:n], '/') AS dir, n FROM (SELECT path, unnest(range(0, len(string_split(path, '/')))) AS n FROM files))
  SELECT path, arg_max(a.dir, n) AS config FROM a JOIN c USING (dir) GROUP BY path"""
 )
 def jn4_nearest_ancestor(spark, sf_dir):
     """JN4: the nearest configured directory above each path."""
     files = _files(spark, sf_dir)
-    dirs = files.filter((F.col("doc_id") % 12).isin(1, 3, 5, 6)).select(P.dirname(F.col("path")).alias("dir")).distinct()
+    dirs = files.filter("path LIKE '%/src/%' OR path LIKE '%/react/%'").select(P.dirname(F.col("path")).alias("dir")).distinct()
     fixed = spark.createDataFrame([("apps",), ("",)], "dir string")
     configs = dirs.union(fixed).select("dir", F.col("dir").alias("config"))
     return R.nearest_config(files, configs)
@@ -684,3 +688,138 @@ def sc8_import_lines(spark, sf_dir):
     listed = F.coalesce("names", F.array().cast("array<string>"))
     path = X.code(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")))
     return joined.select("o_orderkey", F.concat(F.lit("- "), X.with_symbols(path, listed)).alias("line"))
+
+
+# --- scanning, admission and rendering ------------------------------------------------------
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source for each order: it imports parts from suppliers and declares itself."""
+    li = t(spark, sf_dir, "lineitem")
+    row = F.format_string("import { p%d as x } from './s%d';", F.col("l_partkey"), F.col("l_suppkey"))
+    lines = li.groupBy("l_orderkey").agg(L.ordered(["l_linenumber", "l_partkey", "l_suppkey"], row).alias("lines"))
+    o = t(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    head = F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n")
+    key = F.col("o_orderkey").cast("string")
+    body = F.concat(
+        head, F.lit("\n// import no from 'no'\nexport const c"), key, F.lit(" = () => `${require('q')}`, d"), key, F.lit(" = 1;\nfunction f"), key,
+        F.lit("() { const inner = () => 1 }\nexport default class K"), key, F.lit(" {}\n"),
+    )
+    return o.select(F.concat(F.lit("o"), key, F.lit(".ts")).alias("path"), body.alias("content"))
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey, count(*) AS n, string_agg('./s' || l_suppkey || '{p' || l_partkey || '}', ';' ORDER BY l_linenumber, l_partkey, l_suppkey) AS imports FROM lineitem GROUP BY l_orderkey)
+ SELECT 'o' || o_orderkey || '.ts' AS path, 'c' || o_orderkey || ',d' || o_orderkey || ',default' AS exports, 'c' || o_orderkey || ',f' || o_orderkey AS functions,
+  'K' || o_orderkey AS classes, coalesce(imports || ';', '') || 'q{}' AS imports FROM orders LEFT JOIN i ON l_orderkey = o_orderkey"""
+)
+def prs1_scan_sources(spark, sf_dir):
+    """PRS1 to PRS9, PRS13: sources made of orders, scanned."""
+    found = extract.analyze_files(_sources(spark, sf_dir))
+    shown = F.transform("imports", lambda i: F.concat(i["specifier"], F.lit("{"), F.array_join(i["named_symbols"], ","), F.lit("}")))
+    names = lambda k: F.array_join(F.col(f"symbols.{k}"), ",").alias(k)
+    return found.select("path", names("exports"), names("functions"), names("classes"), F.array_join(shown, ";").alias("imports"))
+
+
+@query("SELECT 'o' || o_orderkey || '.ts' AS path, 0::INT AS missed, 0::INT AS extra FROM orders")
+def ag10_symbol_recall(spark, sf_dir):
+    """AG10, PRS11: names that a plain pattern finds in stripped sources against those of the scanner."""
+    files = _sources(spark, sf_dir)
+    plain = extract.stripped_sources(files).select("path", X.exported_names(F.col("stripped")).alias("plain"))
+    both = extract.analyze_files(files).join(plain, "path")
+    known = F.array_union(F.array_union("symbols.exports", "symbols.functions"), "symbols.classes")
+    # of a list of variables the pattern sees the first; d is the second
+    extra = F.filter(F.array_except("symbols.exports", "plain"), lambda n: (n != "default") & ~n.startswith("d"))
+    return both.select("path", F.size(F.array_except("plain", known)).alias("missed"), F.size(extra).alias("extra"))
+
+
+@query(
+    f"""WITH {_SQL_FILES}, m AS (SELECT *, CASE WHEN regexp_matches(path, '\\.(js|jsx|ts|tsx|mjs|cjs)$') AND NOT regexp_matches(path, '\\.d\\.(ts|mts|cts)$')
+   THEN CASE WHEN path LIKE 'apps/%' THEN 0 WHEN path LIKE 'packages/react/%' THEN 1 END END AS p,
+   status NOT IN ('deleted') AND doc_id IN (SELECT doc_id FROM labels) AND regexp_matches(path, '\\.(js|jsx|ts|tsx|mjs|cjs)$') AS forced FROM files)
+ SELECT count(*) FILTER (p = 0)::BIGINT AS walked, count(*) FILTER (p = 1)::BIGINT AS packages, count(*) FILTER (p IS NULL AND forced)::BIGINT AS changes FROM m"""
+)
+def ag15_scope_counters(spark, sf_dir):
+    """SRC1, FL12, FL13, AG15: the index of a scope, a package and changed files."""
+    files = _files(spark, sf_dir)
+    changed = files.join(t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("path", "status")
+    return tree.scope_counters(tree.index_of(files.select("path"), changed, "apps", ["packages/react"]))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as file entries of a bundle; their lanes are made of their numbers."""
+    d = _files(spark, sf_dir)
+    key = F.col("doc_id").cast("string")
+    name = lambda p: F.concat(F.lit(p), key)
+    edge = lambda kind, spec, path, names: F.struct(
+        spec.alias("specifier"), F.lit(kind).alias("kind"), F.lit("static").alias("type"), path.alias("resolvedPath"), names.alias("namedSymbols")
+    )
+    none = F.array().cast("array<string>")
+    hop = F.struct(name("two").alias("path"), name("one").alias("via"), none.alias("viaSymbols"), F.lit("static").alias("type"))
+    imports = F.array(
+        edge("internal", F.lit("./i"), name("i"), F.array(name("x"), F.lit("y"))), edge("external", F.lit("lib"), F.lit(None).cast("string"), F.array(F.lit("b"))),
+        edge("external", F.lit("lib"), F.lit(None).cast("string"), F.array(F.lit("b"), F.lit("c"))), edge("internal", F.lit("./j"), name("j"), none),
+    )
+    return d.select(
+        "doc_id",
+        F.struct(
+            "path", F.lit(None).cast("string").alias("prevPath"), "status", "additions", "deletions", F.col("text").alias("patch"), F.col("text").alias("fullContent"),
+            F.struct(F.array(name("e")).alias("exports"), none.alias("functions"), F.array(F.lit("A"), F.lit("B")).alias("classes")).alias("symbols"),
+            imports.alias("directImports"),
+            F.array(F.struct(name("caller").alias("path"), F.array(F.lit("u")).alias("importedSymbols"), F.lit("static").alias("type"))).alias("directCallers"),
+            F.struct(F.array(F.array(hop), F.array(hop)).alias("forwardTiers"), F.array(F.array(hop)).alias("reverseTiers")).alias("multiHop"),
+            F.array(F.struct(name("n").alias("path"), (F.col("additions") / 100).alias("score"), F.array(F.lit("forward"), F.lit("reverse")).alias("alsoIn"))).alias("semanticNeighbors"),
+        ).alias("f"),
+    )
+
+
+_N = "chr(10)"
+_SQL_HEAD = f"'## `' || path || '`' || {_N} || {_N} || 'Status: **' || status || '**  +' || additions || ' / -' || deletions"
+_SQL_SYMBOLS = f"{_N} || {_N} || 'Symbols' || {_N} || '- exports: `e' || doc_id || '`' || {_N} || '- functions: _(none)_' || {_N} || '- classes: `A`, `B`'"
+_SQL_CUT = "CASE WHEN length(text) > 12000 THEN substring(text, 1, 12000) || chr(10) || '... [truncated, file continues]' ELSE text END"
+_SQL_PATCH = f"{_N} || {_N} || '### Patch' || {_N} || {_N} || '```diff' || {_N} || coalesce(nullif(trim({_SQL_CUT}, ' '), ''), '(no patch)') || {_N} || '```'"
+
+
+def _sql_body(cap: int) -> str:
+    cut = f"CASE WHEN length(text) > {cap} THEN substring(text, 1, {cap}) || {_N} || '... [truncated, file continues]' ELSE text END"
+    return f"{_N} || {_N} || '### Body' || {_N} || {_N} || '```' || {_N} || coalesce(nullif(trim({cut}, ' '), ''), '(no body)') || {_N} || '```' || {_N}"
+
+
+@query(f"WITH {_SQL_FILES} SELECT doc_id, {_SQL_HEAD} || {_SQL_SYMBOLS} || {_SQL_PATCH} || {_sql_body(45_000)} AS section FROM files")
+def rn1_quality_section(spark, sf_dir):
+    """RN1, SC4, SC13."""
+    return _entries(spark, sf_dir).select("doc_id", render.file_section(F.col("f"), "pass1+3").alias("section"))
+
+
+@query(
+    f"""WITH {_SQL_FILES} SELECT doc_id, {_SQL_HEAD} || {_SQL_SYMBOLS} || {_N} || {_N} || '### Imports within the repository' || {_N} || '- `i' || doc_id || '` {{ x' || doc_id || ', y }}'
+  || {_N} || '- `j' || doc_id || '`' || {_N} || {_N} || '### Callers' || {_N} || '- `caller' || doc_id || '` uses {{ u }}' || {_N} || {_N} || '### Two hops forward' || {_N}
+  || '- `two' || doc_id || '` via `one' || doc_id || '`' || {_N} || {_N} || '### Two hops back' || {_N} || '_(none)_' || {_SQL_PATCH} || {_N} AS section FROM files"""
+)
+def rn2_contract_section(spark, sf_dir):
+    """RN2, SC8, SC10, SC11, LM5, LM6."""
+    return _entries(spark, sf_dir).select("doc_id", render.file_section(F.col("f"), "pass2").alias("section"))
+
+
+@query(
+    f"WITH {_SQL_FILES} SELECT doc_id, {_SQL_HEAD} || {_N} || {_N} || '### Outside dependencies' || {_N} || '- `lib` {{ b, c }}' || {_SQL_PATCH} || {_sql_body(20_000)} AS section FROM files"
+)
+def rn3_outside_section(spark, sf_dir):
+    """RN3, SC9."""
+    return _entries(spark, sf_dir).select("doc_id", render.file_section(F.col("f"), "pass4").alias("section"))
+
+
+@query(f"WITH {_SQL_FILES} SELECT doc_id, '  ' || printf('%.3f', additions / 100) || '  n' || doc_id || ' [also in forward+reverse]' AS line FROM files")
+def sc12_neighbor_lines(spark, sf_dir):
+    """SC12, LM7."""
+    return _entries(spark, sf_dir).select("doc_id", render.neighbors(F.col("f")).alias("line"))
+
+
+@query(
+    f"""WITH {_SQL_FILES} SELECT ref, count(*)::BIGINT AS n FROM (
+  SELECT path AS ref FROM files WHERE status <> 'deleted' UNION ALL SELECT 'i' || doc_id FROM files UNION ALL SELECT 'j' || doc_id FROM files
+  UNION ALL SELECT 'caller' || doc_id FROM files UNION ALL SELECT 'two' || doc_id FROM files CROSS JOIN range(3) UNION ALL SELECT 'n' || doc_id FROM files) GROUP BY ref"""
+)
+def st4_path_references(spark, sf_dir):
+    """ST4, GR5: every path that file entries name."""
+    return A.path_references(_entries(spark, sf_dir).select("f.*")).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
