@@ -133,7 +133,13 @@ def status_counts(files: DataFrame) -> DataFrame:
 
 
 def merge_external(imports: DataFrame) -> DataFrame:
-    """(path, specifier, named_symbols): external imports of a file with one specifier, names distinct in order."""
-    external = imports.filter("kind = 'external'").groupBy("src", "specifier")
-    merged = external.agg(F.min("ord").alias("ord"), F.array_distinct(F.flatten(ordered(["ord"], F.col("named_symbols")))).alias("named_symbols"))
+    """(path, ord, specifier, named_symbols): external imports of a file with one specifier, names distinct in order.
+
+    Names are made distinct in an aggregated shuffle before they are listed.
+    """
+    external = imports.filter("kind = 'external'")
+    named = external.select("src", "specifier", "ord", F.posexplode_outer("named_symbols").alias("at", "name"))
+    first = named.groupBy("src", "specifier", "name").agg(F.min(F.struct("ord", "at")).alias("seen"))
+    listed = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("seen", "name"))), lambda x: x["name"].isNotNull()), lambda x: x["name"])
+    merged = first.groupBy("src", "specifier").agg(F.min("seen.ord").alias("ord"), listed.alias("named_symbols"))
     return merged.select(F.col("src").alias("path"), "ord", "specifier", "named_symbols")

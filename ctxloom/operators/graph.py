@@ -3,13 +3,18 @@
 All starts advance together, one join a hop. Candidates of a start are folded in
 order of (frontier position, edge order) by a higher-order aggregate, because the
 cap of a parent and the removal of nodes already taken depend on each other. Nodes
-that the tier cap cuts off stay visited. The fold of a start holds at most its
-frontier's edges.
+that the tier cap cuts off stay visited.
+
+A hub may have any number of edges, but of a parent's new children only the first
+few can matter: each is skipped only for a node that another parent of the tier has
+taken, of which there are at most per_tier x per_parent. So each parent's children
+are reduced to distinct ones, and to that many, before anything is collected.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +49,12 @@ def traverse(
             "start", "pos", "arc_ord", F.col("next").alias("path"), F.col("node").alias("via"), F.col("symbols").alias("via_symbols"), "type"
         )
         fresh = reached.join(visited, ["start", "path"], "left_anti")
-        folded = fresh.groupBy("start").agg(
+        once = fresh.groupBy("start", "pos", "via", "path").agg(
+            F.min_by(F.struct("arc_ord", "via_symbols", "type"), "arc_ord").alias("first")
+        ).select("start", "pos", "via", "path", "first.*")
+        within = W.partitionBy("start", "pos").orderBy("arc_ord", "path")
+        few = once.withColumn("nth", F.row_number().over(within)).filter(F.col("nth") <= per_parent * (per_tier + 1)).drop("nth")
+        folded = few.groupBy("start").agg(
             capped_fold(F.array_sort(F.collect_list(F.struct("pos", "arc_ord", "path", "via", "via_symbols", "type"))), per_parent).alias("taken")
         )
         tier = folded.select("start", F.posexplode(F.slice("taken", 1, per_tier)).alias("pos", "n")).select(
