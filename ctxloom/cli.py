@@ -18,6 +18,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import attach
 from .operators import audit as A
 from .operators import extract
 from .plans import bundle as plan
@@ -28,7 +29,9 @@ log = logging.getLogger("ctxloom")
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("ctxloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("ctxloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    attach(spark)
+    return spark
 
 
 def options_parser() -> argparse.ArgumentParser:

@@ -72,6 +72,7 @@ def assemble(inputs: Inputs, options: Options, generated_at: str | None = None)
     files, changed = inputs.files, inputs.changed
     packages = config.workspaces(spark, files) if options.include_workspaces else None
     package_dirs = [r.dir for r in packages.select("dir").collect()] if packages is not None else []
+    packages = packages if package_dirs else None
     index = tree.index_of(files, changed, options.scope, package_dirs).persist()
     analyzed = extract.analyze_files(index).persist()
     edges = resolve.resolve_imports(
