@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chatformat import format_conversations, read_back, read_loss
+from .chatformat import BODY, CONTROLS, END, START, format_conversations, read_back, read_loss
 from .common import arrow_map, strings, table, values
 from .decontaminate import find_contamination
 from .fingerprint import neighbour_report
@@ -157,7 +157,55 @@ QUERIES = {
     )
 }
 
+def _sql_escaped(text: str) -> str:
+    """Length of an escaped text: a backslash for each backslash and for each control string."""
+    parts = [f"length({text})", f"(length({text}) - length(replace({text}, chr(92), '')))"]
+    parts += [f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in CONTROLS]
+    return " + ".join(parts)
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
+    "op4_benchmark_decontamination": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark),
+        windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (
+            SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        grams AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (
+            SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON len(w) >= n)),
+        hits AS (SELECT r, i, g.n, item_id FROM grams g JOIN windows x ON g.n = x.n AND g.gram = x.gram),
+        words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (
+            SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM hits) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op5_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (
+            SELECT r, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
+        least AS (SELECT g, min(doc_id) AS first_id FROM w GROUP BY g),
+        covered AS (SELECT r, i FROM w JOIN least USING (g) WHERE doc_id > first_id),
+        marked AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true)::INT AS new FROM covered),
+        grouped AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM marked),
+        runs AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM grouped GROUP BY r, k),
+        gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM runs),
+        cut AS (SELECT r, sum(b - a) AS gone, count(*) AS n, max(b) AS e, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept
+                FROM gaps JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept || substr(h, 2 * e + 1), h))) AS kept_sha256
+        FROM d LEFT JOIN cut USING (r)""",
+    "op8_chat_formatting": f"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum({len(START + BODY + END)} + {_sql_escaped("role")} + {_sql_escaped("text")})::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
     "op9_line_dedup": r"""
         WITH pages AS (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),
         totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),

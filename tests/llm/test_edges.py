@@ -68,14 +68,16 @@ def test_queries_run(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_line_query_equals_sql(spark):
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{DATA}/documents.parquet')")
-    found = con.execute(queries.ORACLE_SQL["op9_line_dedup"])
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
+    found = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in found.description]
     want = sorted(found.fetchall(), key=str)
-    assert sorted((tuple(r[n] for n in names) for r in queries.QUERIES["op9_line_dedup"](spark, DATA).collect()), key=str) == want
+    assert sorted((tuple(r[n] for n in names) for r in queries.QUERIES[name](spark, DATA).collect()), key=str) == want
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
