@@ -50,10 +50,19 @@ def path_references(files: DataFrame) -> DataFrame:
 
 def existence(files: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(issues, counters) of references against existing(path)."""
-    refs = path_references(files)
-    missing = refs.join(existing.select(F.col("path").alias("ref")).distinct(), "ref", "left_anti")
-    issues = missing.select(*_issue("error", "existence", F.col("file"), F.concat(F.lit("missing on disk: "), F.col("ref"))))
-    return issues, refs.agg(F.count(F.lit(1)).alias("checked")).join(missing.agg(F.count(F.lit(1)).alias("missing")))
+    marked = missing_marked(path_references(files), existing.select(F.col("path").alias("ref")), "ref")
+    issues = marked.filter("missing").select(*_issue("error", "existence", F.col("file"), F.concat(F.lit("missing on disk: "), F.col("ref"))))
+    return issues, existence_counters(marked)
+
+
+def missing_marked(refs: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """``refs`` and whether ``existing`` lacks their key."""
+    there = existing.select(key).distinct().withColumn("there", F.lit(True))
+    return refs.join(there, key, "left").withColumn("missing", F.col("there").isNull()).drop("there")
+
+
+def existence_counters(marked: DataFrame) -> DataFrame:
+    return marked.agg(F.count(F.lit(1)).alias("checked"), F.count_if("missing").alias("missing"))
 
 
 def resolution_class(specifier: Column) -> Column:
@@ -106,8 +115,8 @@ def hop_integrity(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
     loops = hops.filter("path = start").select("start").distinct()
     issues = checked.filter("not ok").select(*_issue("error", "multi-hop", F.col("start"), F.concat(F.lit("parent not in the tier before: "), F.col("via"))))
     issues = issues.unionByName(loops.select(*_issue("error", "multi-hop", F.col("start"), F.lit("file in its own tiers"))))
-    counters = checked.agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("bad")).join(loops.agg(F.count(F.lit(1)).alias("loops")))
-    return issues, counters.select("valid", (F.col("bad") + F.col("loops")).alias("invalid"))
+    judged = checked.select("ok").unionByName(loops.select(F.lit(False).alias("ok")))
+    return issues, judged.agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("invalid"))
 
 
 def coherence(pairs: DataFrame, left: str = "path", right: str = "neighbor") -> DataFrame:

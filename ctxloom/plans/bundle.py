@@ -126,7 +126,8 @@ def assemble(inputs: Inputs, options: Options, generated_at: str | None = None)
         F.coalesce(lanes.ordered(["ord"], F.col("path")), F.array()).alias("changedFiles"),
         F.coalesce(lanes.ordered_rows("ord", entry).cast(schemas.BUNDLE["files"].dataType), F.array().cast(schemas.BUNDLE["files"].dataType)).alias("files"),
     )
-    counts = index.agg(F.count(F.lit(1)).alias("indexed")).join(edges.agg(F.count_if(F.col("kind") == "internal").alias("internal")))
+    indexed = index.count()
+    internal = edges.filter("kind = 'internal'").count()
     counted = inputs.embedding_counters
     embedded = (
         F.struct(F.lit(options.embedding_model), F.lit(options.embedding_url), F.lit(counted["hits"]), F.lit(counted["misses"]))
@@ -138,16 +139,17 @@ def assemble(inputs: Inputs, options: Options, generated_at: str | None = None)
         F.lit(options.base).alias("base"),
         F.lit(generated_at or dt.datetime.now(dt.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")).alias("generatedAt"),
         F.size("changedFiles").cast("long").alias("changedFileCount"),
-        F.col("indexed").alias("indexedFileCount"),
-        F.col("internal").alias("graphEdgeCount"),
+        F.lit(indexed).cast("long").alias("indexedFileCount"),
+        F.lit(internal).cast("long").alias("graphEdgeCount"),
         F.lit(options.max_hops).alias("maxHops"),
         embedded.cast(schemas.META["embeddings"].dataType).alias("embeddings"),
         F.lit("working-tree-vs-base").alias("diffMode"),
     )
-    rules = tree.rules(files).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "content")))).alias("rules"))
+    texts = sorted((r.name, r.content) for r in tree.rules(files).collect())  # a few fixed names at the root
+    rules = F.create_map(*(F.lit(x) for pair in texts for x in pair)).cast(schemas.BUNDLE["rules"].dataType)
     held = inputs.memory
     note = F.struct(F.lit(held[0]).alias("path"), F.lit(held[1]).alias("content")) if held else F.lit(None).cast(schemas.BUNDLE["memory"].dataType)
-    return body.join(counts).join(rules).select(meta.alias("meta"), "rules", note.alias("memory"), "changedFiles", "files")
+    return body.select(meta.alias("meta"), rules.alias("rules"), note.alias("memory"), "changedFiles", "files")
 
 
 def _neighbors(inputs: Inputs, changed: DataFrame, hops: DataFrame, options: Options) -> DataFrame:

@@ -639,9 +639,8 @@ def ag4_external_merge(spark, sf_dir):
 @query("SELECT count(*)::BIGINT AS checked, count(*) FILTER (l.doc_id IS NULL)::BIGINT AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")
 def jn15_existence(spark, sf_dir):
     """JN15, AG8, ST4: documents without a label."""
-    refs = t(spark, sf_dir, "documents").select("doc_id")
-    missing = refs.join(t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_anti")
-    return refs.agg(F.count(F.lit(1)).alias("checked")).join(missing.agg(F.count(F.lit(1)).alias("missing")))
+    marked = A.missing_marked(t(spark, sf_dir, "documents").select("doc_id"), t(spark, sf_dir, "labels"), "doc_id")
+    return A.existence_counters(marked)
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
