@@ -7,6 +7,8 @@ shares, so a lost executor costs a recomputation of its tasks and nothing else.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="ctxloom-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -63,6 +67,13 @@ def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
 
 
+def release_memory() -> None:
+    """Give back what a task has freed; workers live on, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, list] | None]],
@@ -94,6 +105,7 @@ def arrow_map(
                 for n in names
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

@@ -32,11 +32,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, release_memory
 
 BUCKETS = 1 << 16
 BROADCAST_BYTES = 32 << 20
@@ -107,19 +107,20 @@ def text_evidence(model: Model, text: str | Column = "text") -> Column:
     """Array of the letters' share of the visible bytes, then the log-likelihood by language."""
     shared = model.weights, model.languages
 
-    @F.pandas_udf("array<double>")
-    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model.__new__(Model)
         own.weights, own.languages = shared
         for texts in batches:
             out = []
-            for t in texts:
-                raw = t.encode() if t else b""
+            for raw in texts.cast(pa.binary()).to_pylist():
+                raw = raw or b""
                 x = np.frombuffer(raw, np.uint8)
                 visible = len(x) - int(_SPACE[x].sum())
                 share = int(_LETTER[x].sum()) / visible if visible else 0.0
-                out.append(np.concatenate([[share], own.score(raw)]))
-            yield pd.Series(out)
+                out.append([share, *own.score(raw)])
+            yield pa.array(out, pa.list_(pa.float64()))
+        release_memory()
 
     return evidence(text)
 
