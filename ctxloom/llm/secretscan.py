@@ -51,32 +51,19 @@ _EDGE, _SIZE = len(_ALPHABET), len(_ALPHABET) + 1
 
 #: Ordinary words of code and prose.
 WORDS = (
-    "account action active address agent allow amount analysis application archive argument array author "
-    "backup balance batch before block branch buffer build button cache callback category channel "
-    "character check class client cluster code collection color column command comment common company "
-    "component config connection console container content context control convert cookie copy count "
-    "country create current customer database date debug default delete delta depth description device "
-    "dialog directory display document domain download driver duration editor element email empty enable "
-    "encode endpoint engine entity error event example exception execute export expression extension "
-    "factory failure feature field file filter final first folder format forward frame function gateway "
-    "general generate global graph group handler header height helper history hotel house image import "
-    "index info input insert instance integer interface internal invoice item join journal kernel keyword "
-    "label language last layer layout length level library license limit line link list listener load "
-    "local location log login loop machine main manager mapping market master match matrix maximum member "
-    "memory menu merge message metadata method middle minimum mobile model module monitor mouse name "
-    "network node normal notification number object offset operation option order origin output package "
-    "page panel parameter parent parser partition password path pattern payment people percent period "
-    "person phone picture pipeline platform player plugin point policy position prefix price print private "
-    "process product profile program project property protocol provider public query queue random range "
-    "reader record reference region register release remote remove render report request reset resource "
-    "response result return review role root route rule runtime sample schedule schema scope score screen "
-    "script search second section segment select sequence server service session setting shape share "
-    "signal simple size socket source space special stage standard start state static status storage "
-    "stream string structure style subject summary support switch symbol system table target task template "
-    "temporary test text thread through time title token toolbar total track traffic transaction transfer "
-    "tree trigger type unique unit unknown update upload user utility valid value variable vector vendor "
-    "version video view virtual visible volume warning watch water weight widget width window worker "
-    "workspace writer zone bonjour maison toujours quelque pendant lorsque entre aucun travail monde "
+    "account active agent amount application argument author balance before branch build cache category "
+    "character class cluster collection column comment company config console content control cookie "
+    "count create customer date default delta description dialog display domain driver editor email "
+    "enable endpoint entity event exception export extension failure field filter first format frame "
+    "gateway generate graph handler height history house import info insert integer internal item journal "
+    "keyword language layer length library limit link listener local log loop main mapping master matrix "
+    "member menu message method minimum model monitor name node notification object operation order "
+    "output page parameter parser password pattern people period phone pipeline player point position "
+    "price private product program property provider query random reader reference register remote render "
+    "request resource result review root rule sample schema score script second segment sequence service "
+    "setting share simple socket space stage start static storage string style summary switch system "
+    "target template test thread time token total traffic transfer trigger unique unknown upload utility "
+    "value vector version view bonjour maison toujours quelque pendant lorsque entre aucun travail monde "
     "nicht werden zwischen schule arbeit zeit heute morgen richtig wieder gegen einheit trabajo siempre "
     "cuando tiempo donde entonces mundo ciudad nunca porque"
 ).split()
