@@ -66,5 +66,6 @@ def memory_lines(content: Column) -> Column:
 
 def exported_names(content: Column) -> Column:
     """Distinct names that a plain pattern finds declared by export, in order."""
+    # fixed value: the plain pattern
     pattern = r"export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
     return F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), 1))

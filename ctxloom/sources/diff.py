@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 _BUFFER = 64 << 20
+#: Fixed value: the last two segments of a remote address.
+_REMOTE = r"[/:]([^/:]+/[^/:]+?)(?:\.git)?$"
 
 
 def status_name(code: Column) -> Column:
@@ -44,7 +46,7 @@ def parse_numstat(lines: DataFrame) -> DataFrame:
 
 def repo_name(url: Column, fallback: str) -> Column:
     """The last two segments of a remote address without .git."""
-    return F.coalesce(F.nullif(F.regexp_extract(url, r"[/:]([^/:]+/[^/:]+?)(?:\.git)?$", 1), F.lit("")), F.lit(fallback))
+    return F.coalesce(F.nullif(F.regexp_extract(url, _REMOTE, 1), F.lit("")), F.lit(fallback))
 
 
 class Git:
@@ -73,7 +75,7 @@ class Git:
         return True
 
     def name(self) -> str:
-        m = re.search(r"[/:]([^/:]+/[^/:]+?)(?:\.git)?$", self.safe("config", "--get", "remote.origin.url").strip())
+        m = re.search(_REMOTE, self.safe("config", "--get", "remote.origin.url").strip())
         return m[1] if m else os.path.basename(self.root)
 
     def changed(self, spark: SparkSession, base: str) -> DataFrame:
