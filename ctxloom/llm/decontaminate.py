@@ -9,7 +9,8 @@ bucket of patterns, the first word narrows it, and a direct comparison decides.
 Scale: documents are scanned where they lie, without a shuffle. The benchmark is
 the stated query set. It is sent to the workers in blocks of at most
 ``block_bytes`` of text each, so what is broadcast at once has a fixed bound;
-more blocks mean more passes over the batch in the same task, not a larger index.
+each block is one pass over the documents, whose results are written before the next
+block is sent, so no worker holds more than one index.
 
 Defined cases: null or empty text has no words and no hits; an item without
 words has no window; equal items are all reported; an item whose id is null
@@ -20,20 +21,23 @@ one; an empty benchmark finds nothing; other columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_or_empty, utf8, values
+from .common import arrow_map, materialize, text_or_empty, utf8, values
 
 _WORD_BYTES = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD_BYTES else 0x20 for b in range(256)
 )
 
-SCHEMA = (
-    "doc_id long, n_words long, n_hit long, items array<string>, "
+COLUMNS = ("doc_id", "n_words", "n_hit", "items", "spans")
+_FOUND = (
+    "doc_id long, text_hash long, n_words long, n_hit long, items array<string>, "
     "spans array<struct<start:long,end:long>>"
 )
 
@@ -109,47 +113,37 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """The benchmark as broadcasts of at most about ``block_bytes`` of text each."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, Broadcast]]:
+    """The number of blocks, with each block of about ``block_bytes`` of text as a broadcast, one after another."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_or_empty().alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first().n or 0
     count = max(1, -(-total // block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(count))
-    return [
-        spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in items.filter(block == b).toLocalIterator()])
-        for b in range(count)
-    ]
+    for b in range(count):
+        rows = [(r.item_id, r.text.encode()) for r in items.filter(block == b).toLocalIterator()]
+        yield count, spark.sparkContext.broadcast(rows)
 
 
-def _searcher(blocks: list, window: int):
-    """Words and hits of each text of a batch, over all blocks."""
-    indexes = [WuManber(b.value, window) for b in blocks]
-
-    def search(text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
-        words, spans, items = words_of(text), [], set()
-        for index in indexes:
-            more, names = index.search(words)
-            spans += more
-            items |= names
-        return len(words), merge(spans) if len(indexes) > 1 else spans, items
-
-    return search
-
-
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20
-) -> DataFrame:
-    """Per document: words, hit words, occurring item ids and merged hit spans in words."""
-    blocks = _blocks(benchmark, block_bytes)
+def _search(rows: DataFrame, block: Broadcast, window: int, hits_only: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit, items and spans of rows(doc_id, text, text_hash) for one block."""
 
     def make():
-        search = _searcher(blocks, window)
+        index = WuManber(block.value, window)
 
-        def each(batch: pa.RecordBatch) -> dict:
-            found = [search(t) for t in utf8(batch, "text")]
+        def each(batch: pa.RecordBatch) -> dict | None:
+            found = []
+            for text in utf8(batch, "text"):
+                words = words_of(text)
+                found.append((len(words), *index.search(words)))
+            if hits_only:
+                keep = pa.array([bool(spans) for _, spans, _ in found])
+                batch, found = batch.filter(keep), [f for f in found if f[1]]
+                if not found:
+                    return None
             return {
                 "doc_id": values(batch, "doc_id"),
+                "text_hash": values(batch, "text_hash"),
                 "n_words": [n for n, _, _ in found],
                 "n_hit": [sum(e - s for s, e in spans) for _, spans, _ in found],
                 "items": [sorted(items) for _, _, items in found],
@@ -158,24 +152,75 @@ def find_contamination(
 
         return each
 
-    return arrow_map(docs.select("doc_id", "text"), make, SCHEMA)
+    return arrow_map(rows.select("doc_id", "text", "text_hash"), make, _FOUND)
+
+
+def _merged(hits: DataFrame) -> DataFrame:
+    """Hits of several blocks by document."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> dict:
+            spans = [merge([(s["start"], s["end"]) for s in row]) for row in values(batch, "spans").to_pylist()]
+            return {
+                "doc_id": values(batch, "doc_id"),
+                "text_hash": values(batch, "text_hash"),
+                "n_words": values(batch, "n_words"),
+                "n_hit": [sum(e - s for s, e in row) for row in spans],
+                "items": [sorted(set(row)) for row in values(batch, "items").to_pylist()],
+                "spans": [[{"start": s, "end": e} for s, e in row] for row in spans],
+            }
+
+        return each
+
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("items", "spans")]
+    grouped = hits.distinct().groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), *lists)
+    return arrow_map(grouped, make, _FOUND)
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20
+) -> DataFrame:
+    """Per document: words, hit words, occurring item ids and merged hit spans in words."""
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    hits = every = None
+    for count, block in _blocks(benchmark, block_bytes):
+        if count == 1:
+            return _search(rows, block, window).select(*COLUMNS)
+        if every is None:
+            every = materialize(_search(rows, block, window))
+            found = every.filter("n_hit > 0")
+        else:
+            found = materialize(_search(rows, block, window, hits_only=True))
+        block.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    merged = _merged(hits).withColumnsRenamed({c: f"m_{c}" for c in COLUMNS} | {"text_hash": "m_hash"})
+    on = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("text_hash") == F.col("m_hash"))
+    return every.join(merged, on, "left").select(
+        "doc_id", "n_words", *(F.coalesce(f"m_{c}", c).alias(c) for c in COLUMNS if c not in ("doc_id", "n_words"))
+    )
 
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20
 ) -> DataFrame:
     """The documents without a hit word, with all their columns."""
-    blocks = _blocks(benchmark, block_bytes)
+    kept = docs
+    for count, block in _blocks(benchmark, block_bytes):
+        kept = _without_hits(kept, block, window)
+        if count > 1:
+            kept = materialize(kept)
+            block.destroy()
+    return kept
 
+
+def _without_hits(docs: DataFrame, block: Broadcast, window: int) -> DataFrame:
     def make():
-        search = _searcher(blocks, window)
+        index = WuManber(block.value, window)
 
         def each(batch: pa.RecordBatch) -> dict | None:
-            clean = batch.filter(pa.array([not search(t)[1] for t in utf8(batch, "text")]))
+            clean = batch.filter(pa.array([not index.search(words_of(t))[0] for t in utf8(batch, "text")]))
             return dict(zip(clean.schema.names, clean.columns, strict=True)) if clean.num_rows else None
 
         return each
 
     return arrow_map(docs, make, docs.schema)
-
-
