@@ -16,9 +16,9 @@ from .common import materialize, table
 from .decontaminate import drop_contaminated
 from .langid import accept, train
 from .linededup import drop_boilerplate
+from .overlap import keep_one
 from .packing import pack
 from .queries import VOCABULARY
-from .simhash import keep_one
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component of near copies."""
+    """The first document of each component of near copies: four fifths of their five-word shingles in common."""
     return keep_one(docs)
 
 

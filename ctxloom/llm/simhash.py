@@ -30,7 +30,7 @@ smallest id that is not null; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -306,13 +306,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket
     return marked.join(known, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
-    """All columns and the fingerprint as __fp."""
+def _with_fingerprint(docs: DataFrame, mark: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """All columns and what ``mark`` makes of them as __fp."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            found = np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], np.uint64)
-            return dict(zip(batch.schema.names, batch.columns, strict=True)) | {"__fp": pa.array(found.view(np.int64))}
+            return dict(zip(batch.schema.names, batch.columns, strict=True)) | {"__fp": mark(batch)}
 
         return each
 
@@ -320,13 +319,21 @@ def _with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The documents of which each is the first of its component, with all their columns.
+    """The documents of which each is the first of its component, with all their columns."""
+
+    def mark(batch: pa.RecordBatch) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], np.uint64).view(np.int64))
+
+    return first_of_each(docs, near_duplicates(docs, shingle, distance), mark)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, mark: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The first document of each component in ``found`` (doc_id, fp, component_id, root).
 
     Documents whose id is theirs alone are told apart by it. Rows that share an id, or
-    have none, are told apart by their fingerprints as well, and of several that could
-    stand for a component one stays.
+    have none, are told apart by their fingerprints as well, which ``mark`` gives, and of
+    several that could stand for a component one stays.
     """
-    found = near_duplicates(docs, shingle, distance)
     rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("__first_fp"))
     shared = (F.col("__rows") > 1) | F.col("__first_id").isNull()
@@ -344,6 +351,6 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     if again.isEmpty():
         return once
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    several = _with_fingerprint(docs.join(again.select("__first_id").distinct(), own, "left_semi"), shingle)
+    several = _with_fingerprint(docs.join(again.select("__first_id").distinct(), own, "left_semi"), mark)
     chosen = several.join(again, own & (F.col("__fp") == F.col("__first_fp"))).dropDuplicates(["__root"]).select(*columns)
     return once.unionByName(chosen)
