@@ -66,14 +66,18 @@ def empty(kind) -> F.Column:
     return F.array().cast(kind) if kind.typeName() == "array" else F.lit(None).cast(kind)
 
 
+def index_and_packages(files: DataFrame, changed: DataFrame, options: Options) -> tuple[DataFrame, DataFrame | None]:
+    """The files that a bundle indexes and embeds, and the workspace packages if there are any."""
+    packages = config.workspaces(files.sparkSession, files) if options.include_workspaces else None
+    package_dirs = [r.dir for r in packages.select("dir").collect()] if packages is not None else []
+    return tree.index_of(files, changed, options.scope, package_dirs), packages if package_dirs else None
+
+
 def assemble(inputs: Inputs, options: Options, generated_at: str | None = None) -> DataFrame:
     """The one-row bundle."""
-    spark = inputs.files.sparkSession
     files, changed = inputs.files, inputs.changed
-    packages = config.workspaces(spark, files) if options.include_workspaces else None
-    package_dirs = [r.dir for r in packages.select("dir").collect()] if packages is not None else []
-    packages = packages if package_dirs else None
-    index = tree.index_of(files, changed, options.scope, package_dirs).persist()
+    index, packages = index_and_packages(files, changed, options)
+    index = index.persist()
     analyzed = extract.analyze_files(index).persist()
     edges = resolve.resolve_imports(
         extract.raw_imports(analyzed), tree.entries_of(files, index), config.configs(files, options.inherit_dir), packages
@@ -175,8 +179,8 @@ def gather(spark: SparkSession, options: Options, embed: embeddings.Embedder | N
     note = (options.memory_path, memory.ensure(options.memory_path)) if options.use_memory else None
     inputs = Inputs(files, changed, details, git.name(), note)
     if options.embeddings and embed is not None:
-        indexed = tree.index_of(files, changed, options.scope).select("path", "content")
-        attach_vectors(inputs, indexed, options, embed)
+        index, _ = index_and_packages(files, changed, options)
+        attach_vectors(inputs, index.select("path", "content"), options, embed)
     return inputs
 
 
