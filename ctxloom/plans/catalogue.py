@@ -23,7 +23,7 @@ from ..operators import similarity as S
 from ..sources import diff as D
 from ..sources import embeddings as E
 from ..sources import tree
-from . import render
+from . import bundle, render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -287,6 +287,27 @@ def sc3_trimmed(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", X.trimmed(F.col("text"), 800).alias("body"))
 
 
+@query(
+    """WITH s AS (SELECT doc_id, strlen(text) > 60000 AS truncated, string_split(CASE WHEN strlen(text) > 60000 THEN substring(text, 1, 60000) ELSE text END, chr(10)) AS lines FROM documents)
+ SELECT doc_id, truncated, array_to_string(list_transform(range(1, len(lines) + 1), lambda i: lpad(i::VARCHAR, length(len(lines)::VARCHAR)::INT, ' ') || ': ' || lines[i]), chr(10)) AS numbered FROM s"""
+)
+def sc2_line_numbers_whole(spark, sf_dir):
+    """SC2 at the limit of a run."""
+    d, most = t(spark, sf_dir, "documents"), bundle.Options.max_file_bytes
+    return d.select("doc_id", X.over_limit(F.col("text"), most).alias("truncated"), X.with_line_numbers(F.col("text"), most).alias("numbered"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN length(text) > 12000 THEN substring(text, 1, 12000) || chr(10) || '... [truncated, file continues]' ELSE text END AS patch,
+ CASE WHEN length(text) > 20000 THEN substring(text, 1, 20000) || chr(10) || '... [truncated, file continues]' ELSE text END AS short_body,
+ CASE WHEN length(text) > 45000 THEN substring(text, 1, 45000) || chr(10) || '... [truncated, file continues]' ELSE text END AS body FROM documents"""
+)
+def sc3_trimmed_whole(spark, sf_dir):
+    """SC3, SC4 at the limits of the renderings."""
+    caps = {"patch": render.PATCH_CAP, "short_body": render.SHORT_BODY_CAP, "body": render.BODY_CAP}
+    return t(spark, sf_dir, "documents").select("doc_id", *(X.trimmed(F.col("text"), most).alias(n) for n, most in caps.items()))
+
+
 @query(
     """SELECT conv_id, turn, array_to_string(list_filter(string_split(c, chr(10)), lambda x: x LIKE '- %' OR regexp_matches(x, '^##\\s')), chr(10)) AS kept
  FROM (SELECT conv_id, turn, replace(replace(text, '. ', chr(10) || '- '), ', ', chr(10) || '## ') AS c FROM conversations)"""
