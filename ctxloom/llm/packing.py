@@ -3,18 +3,21 @@
 Documents become token ids and a closing id; only what is longer than a sequence
 is cut, the first piece taking the remainder. The program has a variable for each
 configuration (a multiset of lengths that fits a sequence) and a demand for each
-length. Multiplicative weights solve it: the price of a length is its share of a
-sequence, which is the exact dual where nothing is wasted, raised by ``eta`` times
-a weight that starts at that share and shrinks exponentially as the length's
-demand is covered. An unbounded-knapsack dynamic program prices configurations.
-The longest uncovered lengths, which only shorter ones can complete, take their
-best configurations, each a fraction of what the remaining demand allows, rounded
-down to whole sequences but at least one, so the solution is integral as it grows.
-Several ``eta`` are tried and the plan with the fewest sequences is used.
+length, and asks for the fewest sequences.
+
+Multiplicative weights solve it. The price of a length is its share of a sequence,
+which is the exact dual where nothing is wasted, raised by the share times a weight
+that grows exponentially with how far the length's covered demand lags behind the
+whole. In a round, an unbounded-knapsack dynamic program prices configurations, and
+each length takes the dearest ones that hold it, until a fixed share of some demand in
+them is covered, so that no round covers a length by more than that share. Rounds that
+make little headway admit configurations with a few empty tokens; the last one
+takes any, so the fractional solution covers every demand exactly. Columns that leave at most ``CLOSE``
+tokens empty are then rounded at random, and best fit places what rounding leaves.
 
 Scale: texts are tokenized once, in place; the pieces table (no text) is written
 to the shared folder. The driver sees the histogram, at most ``capacity`` rows,
-whatever the corpus; its work and the plan grow with the logarithm of the counts.
+whatever the corpus; its work and the plan hardly depend on the counts.
 Pieces are numbered within their length by counts of (length, salt), so a length
 that a third of all pieces share is dealt over all salts.
 
@@ -25,6 +28,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import zlib
@@ -45,10 +49,12 @@ from .tokencount import PATTERN, byte_symbols
 #: Texts of other characters go to the tokenizers library itself; within these,
 #: the faster merger is held to the same ids by tests over every character.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E -ɏ]*")
-ETAS = (0.02, 0.2, 1.0)
-#: Decay of a weight over its whole demand; share of the demand a step may take;
-#: configurations from one run of the dynamic program.
-GAMMA, STEP, PER_PRICING = 4.0, 0.25, 8
+#: Growth of a weight over a whole demand; the share of each demand that a round may
+#: cover; configurations that a length may ask of one run of the dynamic program.
+ETA, STEP, TRIES = 1.0, 0.25, 2
+#: Demands below this share of what they were are met; empty tokens of a configuration
+#: that is rounded rather than left to best fit; the seed of the rounding.
+_NOTHING, CLOSE, SEED = 1e-6, 4, 1
 
 
 class Encoder:
@@ -71,8 +77,10 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> list[int]:
+        """The library's ids; the faster merger refuses runs of about a million white spaces."""
         if self.fast is not None and _PLAIN.fullmatch(text):
-            return self.fast.encode(text, allowed_special="all")
+            with contextlib.suppress(ValueError):
+                return self.fast.encode(text, allowed_special="all")
         return self.library.encode(text, add_special_tokens=False).ids
 
 
@@ -133,8 +141,8 @@ def price(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, take
 
 
-def _configuration(first: int, best, take, value, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """The best configuration with ``first`` in it that the remaining pieces allow."""
+def _configuration(first: int, best, take, value, room: np.ndarray, capacity: int) -> dict[int, int]:
+    """The best configuration with ``first`` in it of the lengths that still have room."""
     used = {first: 1}
     c = capacity - first
     while c > 0:
@@ -142,12 +150,8 @@ def _configuration(first: int, best, take, value, left: np.ndarray, capacity: in
         if length == 0:
             c -= 1
             continue
-        if left[length] <= used.get(length, 0):
-            open_ = left[: c + 1] > 0
-            for k, n in used.items():
-                if k <= c and left[k] <= n:
-                    open_[k] = False
-            lengths = np.flatnonzero(open_)
+        if room[length] <= 0:
+            lengths = np.flatnonzero(room[: c + 1] > 0)
             if not len(lengths):
                 break
             length = int(lengths[(best[c - lengths] + value[lengths]).argmax()])
@@ -156,41 +160,107 @@ def _configuration(first: int, best, take, value, left: np.ndarray, capacity: in
     return used
 
 
-def solve(demand: np.ndarray, eta: float) -> list[tuple[int, dict[int, int]]]:
-    """(sequences, configuration) that cover ``demand``, an array of counts by length."""
+Column = tuple[tuple[int, int], ...]
+
+
+def fractional(demand: np.ndarray) -> tuple[dict[Column, float], float]:
+    """A fractional solution {configuration: sequences} that covers ``demand`` exactly, and a lower bound.
+
+    The bound is that of the best prices tried: what the demand costs at them over
+    the price of the dearest configuration, which no solution can beat.
+    """
     capacity = len(demand) - 1
-    left, plan = demand.astype(np.int64).copy(), []
-    if left[capacity]:
-        plan.append((int(left[capacity]), {capacity: 1}))
-        left[capacity] = 0
+    wanted = demand.astype(float)
+    known, left = demand > 0, wanted.copy()
     share = np.arange(capacity + 1) / capacity
-    weight = share.copy()
-    while left.any():
-        value = np.where(left > 0, share * (1 + eta * weight), -np.inf)
+    total = float((wanted * share).sum())
+    found: dict[Column, float] = {}
+    bound, slack = total, 0
+    while (open_ := left > _NOTHING * wanted).any():
+        rest = float((left * share).sum())
+        done = np.divide(wanted - left, wanted, out=np.zeros(capacity + 1), where=known)
+        weight = np.exp(ETA * (1 - rest / total - done))
+        value = np.where(open_, share * (1 + share * weight), -np.inf)
         best, take = price(value)
-        for first in map(int, np.flatnonzero(left)[::-1][:PER_PRICING]):
-            if not left[first]:
-                continue
-            config = _configuration(first, best, take, value, left, capacity)
-            times = max(1, int(min(left[k] // n for k, n in config.items()) * STEP))
-            plan.append((times, config))
-            for k, n in config.items():
-                left[k] -= times * n
-                weight[k] *= np.exp(-GAMMA * times * n / demand[k])
-    return plan
+        if open_.sum() == known.sum():
+            bound = max(bound, float((wanted[known] * value[known]).sum() / best[capacity]))
+        last = slack > CLOSE  # the rest is taken as it comes
+        room = np.where(open_, left if last else np.minimum(left, STEP * wanted), 0.0)
+        for first in np.flatnonzero(open_)[::-1].tolist():
+            tries = 0
+            while room[first] > _NOTHING * wanted[first] and (last or tries < TRIES):
+                tries += 1
+                config = _configuration(first, best, take, value, room, capacity)
+                k, n = np.array(list(config)), np.array(list(config.values()))
+                if not last and capacity - int(k @ n) > slack:
+                    break
+                amount = float((room[k] / n).min())
+                room[k] -= amount * n
+                left[k] -= amount * n
+                room[k[room[k] <= _NOTHING * wanted[k]]] = 0.0
+                column = tuple(sorted(config.items(), reverse=True))
+                found[column] = found.get(column, 0.0) + amount
+        if rest - float((left * share).sum()) < STEP * total / 4:
+            slack = max(4 * slack, 1)
+    return found, bound
+
+
+def best_fit(demand: np.ndarray) -> list[tuple[int, dict[int, int]]]:
+    """(sequences, configuration) of best-fit decreasing, over counts of equal sequences."""
+    capacity = len(demand) - 1
+    open_: dict[int, list[tuple[int, dict[int, int]]]] = {capacity: []}
+    some = np.zeros(capacity + 1, bool)
+
+    def put(free: int, times: int, config: dict[int, int]) -> None:
+        if times:
+            open_.setdefault(free, []).append((times, config))
+            some[free] = True
+
+    for length in np.flatnonzero(demand)[::-1].tolist():
+        n = int(demand[length])
+        while n:
+            free = length + int(some[length:].argmax())
+            if some[free]:
+                times, config = open_[free].pop()
+                some[free] = bool(open_[free])
+            else:  # a fresh sequence for as many pieces as there are
+                free, times, config = capacity, n, {}
+            each = free // length
+            whole = min(times, n // each)
+            put(free - each * length, whole, config | {length: each})
+            n -= whole * each
+            if whole < times and n:
+                put(free - n * length, 1, config | {length: n})
+                whole, n = whole + 1, 0
+            if config:
+                put(free, times - whole, config)
+    return [group for groups in open_.values() for group in groups]
 
 
 def best_plan(demand: np.ndarray) -> list[tuple[int, dict[int, int]]]:
+    """(sequences, configuration) that cover ``demand``, an array of counts by length.
+
+    Columns of the fractional solution that leave at most ``CLOSE`` tokens empty are
+    rounded up or down by seeded coins that are as likely as their fractions, within
+    the demand; best fit places what the rounding leaves.
+    """
     capacity = len(demand) - 1
-    least = -(-int((demand * np.arange(capacity + 1)).sum()) // capacity)
-    found = None
-    for eta in ETAS:
-        plan = solve(demand, eta)
-        if found is None or sum(t for t, _ in plan) < sum(t for t, _ in found):
-            found = plan
-        if sum(t for t, _ in found) == least:
-            break
-    return found or []
+    left, plan = demand.astype(np.int64).copy(), []
+    if left[capacity]:
+        plan.append((int(left[capacity]), {capacity: 1}))
+        left[capacity] = 0
+    if not left.any():
+        return plan
+    found, _ = fractional(left)
+    coins = np.random.default_rng(SEED).random(len(found))
+    for (column, amount), coin in zip(sorted(found.items(), key=lambda x: (-x[1], x[0])), coins, strict=True):
+        if capacity - sum(k * n for k, n in column) <= CLOSE:
+            times = min(int(amount + coin), *(int(left[k]) // n for k, n in column))
+            if times:
+                plan.append((times, dict(column)))
+                for k, n in column:
+                    left[k] -= times * n
+    return plan + best_fit(left)
 
 
 def _places(plan: list[tuple[int, dict[int, int]]]) -> np.ndarray:

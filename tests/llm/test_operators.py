@@ -94,6 +94,33 @@ def test_plans_cover_the_demand(lengths):
     assert sum(t for t, _ in plan) <= 1.02 * count + 1
 
 
+def test_fractional_solution_meets_its_bound():
+    """It covers every demand, and lies within two in a hundred of what no solution can beat."""
+    rng = np.random.default_rng(9)
+    weights = np.exp(-np.arange(1, 512) / 150.0)
+    for pieces in (3_000, 10**8):
+        demand = np.concatenate([[0], rng.multinomial(pieces, weights / weights.sum()), [0]])
+        found, bound = packing.fractional(demand)
+        covered = np.zeros(513)
+        for column, amount in found.items():
+            assert amount > 0 and sum(k * n for k, n in column) <= 512
+            for k, n in column:
+                covered[k] += n * amount
+        assert np.allclose(covered, demand, rtol=1e-4)
+        assert bound <= sum(found.values()) <= 1.02 * bound
+        assert sum(t for t, _ in packing.best_plan(demand)) <= 1.002 * bound + 2
+    wide = np.bincount([300] * 40 + [400] * 9, minlength=513)  # two never fit together: as many as there are
+    assert round(sum(packing.fractional(wide)[0].values()), 3) == 49
+
+
+def test_runs_that_the_merger_refuses(spark, vocabulary):
+    texts = [" " * 2_000_000 + "a", "\n" * 1_200_000, "=-" * 300_000]
+    rows = packing.pack(frame(spark, enumerate(texts)), vocabulary).collect()
+    counts = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(frame(spark, enumerate(texts)), vocabulary).collect()}
+    for i in counts:
+        assert sum(r.length for r in rows if r.doc_id == i) == counts[i] + 1
+
+
 def test_packing(spark, vocabulary, library):
     rng = random.Random(4)
     texts = [words(rng, rng.choice((0, 1, 5, 60, 400, 900, 4000))) for _ in range(150)] + TEXTS + [None, texts_of_exact_length(library, 2047), texts_of_exact_length(library, 4095)]
