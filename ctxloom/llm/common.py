@@ -2,13 +2,17 @@
 
 Tables that one job reads more than once are written as Parquet below the
 folder that the cluster names in ``spark.checkpoint.dir``, which every executor
-shares, so a lost executor costs a recomputation of its tasks and nothing else.
+shares, so a lost executor costs a recomputation of its tasks and nothing else. They
+lie in a folder of the application, ``ctxloom/<application id>``, that can be removed
+when it has ended; what is made inside ``scratch`` is removed where that ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,16 +43,52 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="ctxloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a frame over the written files."""
+_scratch: list[list[str]] = []
+
+
+def _write(df: DataFrame) -> tuple[str, DataFrame]:
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ctxloom/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ctxloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a frame over the written files."""
+    path, out = _write(df)
+    if _scratch:
+        _scratch[-1].append(path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a written table."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], tuple[str, DataFrame]]]:
+    """Tables written inside are removed at the end, but for those that the given function writes."""
+    _scratch.append([])
+    try:
+        yield _write
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
+
+
+def own_prefix(columns: list[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no column begins with it."""
+    while any(c.lower().startswith(wanted) for c in columns):
+        wanted = f"_{wanted}"
+    return wanted
 
 
 #: Texts are large: this many bytes, and not a number of rows, bound what a task holds at once.

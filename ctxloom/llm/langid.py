@@ -9,21 +9,30 @@ log P(lang | all) = text likelihood + declared language + address suffix + host
 * Declared markup language: right with probability ``declared_trust``.
 * Address suffix: country-code suffixes name a language with probability
   ``suffix_trust``; others say nothing.
-* Host prior: the text posteriors of all rows, summed by grouped aggregation,
-  smoothed from all rows to suffix to host with ``prior_rows`` pseudo-rows.
+* Host prior: the text posteriors of the other rows, summed by grouped aggregation,
+  smoothed from all rows to suffix to host with ``prior_rows`` pseudo-rows. A row's own
+  posterior is taken out of every level, so that it does not count twice.
 
-A row is rejected if it has no letters, if under ``min_letters`` of its visible
-bytes are letters, if its best language has a posterior under ``min_posterior``,
-or if that language is not accepted.
+One more class stands for texts of no trained language: its likelihood is the mean of
+that of single bytes in any order, and of all trigrams alike. Text that the trigrams
+of every language explain worse belongs to it.
 
-Scale: two narrow passes over the texts; only sums by host are shuffled, after
-partial aggregation. The host table meets the rows by broadcast up to a measured
-size, otherwise by a join on host, which Spark splits where a host is hot.
+A row is rejected if under ``min_letters`` of its visible bytes are letters, if under
+``min_plain`` are letters or digits (with ``PLAIN_BYTES`` more that are, so that a lone
+word may end in a point), if its best language has a posterior under ``min_posterior``, or
+if that language is not accepted.
+
+Scale: one narrow pass over the texts, whose scores are written with the columns that
+are asked for; only sums by host are shuffled, after partial aggregation. The host
+table meets the rows by broadcast up to a measured size, otherwise by a join on host,
+which Spark splits where a host is hot.
 
 Defined cases: null or empty text has no likelihood and is rejected; null or
 unknown declared languages and suffixes say nothing; a null host is the host '';
 without labelled rows every row gets a null language and is rejected; repeated
-rows each count; other columns pass through, whatever their names.
+rows each count; other columns pass through, whatever their names. The names of the
+columns that are added begin with ``__langid_``, or with more underscores where one
+of the table's own does.
 """
 
 from __future__ import annotations
@@ -36,14 +45,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, release_memory
+from .common import bound_batches, materialize, own_prefix, release_memory
 
 BUCKETS = 1 << 16
 BROADCAST_BYTES = 32 << 20
 _CHUNK = 1 << 18
-_OWN = "__langid_"
+OWN = "__langid_"
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
+_PLAIN = _LETTER | np.array([0x30 <= b <= 0x39 for b in range(256)])
 _SPACE = np.array([b <= 0x20 for b in range(256)])
+PLAIN_BYTES = 8
 
 #: The main language of country-code suffixes.
 SUFFIX_LANGUAGE = {
@@ -62,55 +73,74 @@ def _pieces(text: bytes) -> Iterator[np.ndarray]:
 
 
 class Model:
-    """Languages, and log P(trigram | language) as an array of languages x buckets."""
+    """Languages, log P(trigram | language) as an array of languages x buckets, and log P(byte) of no language.
+
+    ``limits`` has the largest hash of an id that was sampled, by language.
+    """
 
-    def __init__(self, languages: list[str], counts: np.ndarray, smoothing: float = 0.5):
-        self.languages = languages
+    def __init__(self, languages: list[str], counts: np.ndarray, singles: np.ndarray | None = None, limits: dict[str, int] | None = None, smoothing: float = 0.5):
+        self.languages, self.limits = languages, limits or {}
         total = counts.sum(axis=1, keepdims=True)
         self.weights = np.log((counts + smoothing) / (total + smoothing * BUCKETS)).astype(np.float32)
+        singles = np.zeros((len(languages), 256)) if singles is None else singles
+        rates = (singles + smoothing) / (singles.sum(axis=1, keepdims=True) + 256 * smoothing)
+        self.single = np.log(rates.mean(axis=0)) if languages else np.zeros(256)
 
     def score(self, text: bytes) -> np.ndarray:
-        out = np.zeros(len(self.languages))
+        """Log-likelihoods of no language and of each language."""
+        out = np.zeros(len(self.languages) + 1)
         for grams in _pieces(text):
-            out += self.weights[:, grams].sum(axis=1, dtype=np.float64)
+            out[1:] += self.weights[:, grams].sum(axis=1, dtype=np.float64)
+        if len(text) > 2:  # the bytes of the trigrams: three each, less at the ends
+            raw = np.frombuffer(text.lower(), np.uint8)
+            at = self.single[raw]
+            single = 3 * at.sum() - 2 * (at[0] + at[-1]) - at[1] - at[-2] if len(raw) > 3 else at.sum()
+            out[0] = np.logaddexp(single / 3, -math.log(BUCKETS) * (len(raw) - 2) / 3) * 3
         return out / 3
 
+    def trained_on(self, doc_id: Column, label: Column) -> Column:
+        """Whether a row belongs to the sample that the model was trained on."""
+        chosen = F.lit(False)
+        for lang, below in self.limits.items():
+            chosen = chosen | ((label == lang) & (F.xxhash64(doc_id) <= F.lit(below)))
+        return F.coalesce(chosen, F.lit(False))
+
 
-def train(docs: DataFrame, per_language: int = 500, label: str = "lang", max_languages: int = 64) -> Model:
+def train(docs: DataFrame, per_language: int = 500, label: str = "lang") -> Model:
     """A model of a sample of the labelled rows, taken by the hashes of their ids.
 
-    Bounds: ``per_language`` rows in the mean, and twice as many at most, of each of
-    the ``max_languages`` most frequent languages; texts are read one at a time and
-    only counts are kept.
+    Bound: ``per_language`` rows in the mean, and twice as many at most, of each language;
+    texts are read one at a time and only counts are kept, 2 MB a language.
     """
-    labelled = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
-    common = labelled.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(max_languages).collect()
-    languages = sorted(r[0] for r in common)
+    labelled = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("label"), "doc_id", "text")
+    found = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
+    languages = sorted(r.label for r in found)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
-    chosen = F.lit(False)
-    for lang, n in common:
-        below = -(1 << 63) + int(min(1.0, per_language / n) * (1 << 64)) - 1
-        chosen = chosen | ((F.col(label) == lang) & (F.xxhash64("doc_id") <= F.lit(below)))
-    counts = np.zeros((len(languages), BUCKETS))
-    seen = dict.fromkeys(languages, 0)
-    for lang, text in labelled.filter(chosen).select(label, "text").toLocalIterator():
+    limits = {r.label: -(1 << 63) + int(min(1.0, per_language / r.n) * (1 << 64)) - 1 for r in found}
+    below = docs.sparkSession.createDataFrame(list(limits.items()), "label string, below long")
+    chosen = labelled.join(F.broadcast(below), "label").filter(F.xxhash64("doc_id") <= F.col("below"))
+    counts, singles = np.zeros((len(languages), BUCKETS)), np.zeros((len(languages), 256))
+    place, seen = {lang: i for i, lang in enumerate(languages)}, dict.fromkeys(languages, 0)
+    for lang, text in chosen.select("label", "text").toLocalIterator():
         seen[lang] += 1
         if seen[lang] > 2 * per_language:  # ids that repeat can share a hash
             continue
-        for grams in _pieces(text.encode()):
-            counts[languages.index(lang)] += np.bincount(grams, minlength=BUCKETS)
-    return Model(languages, counts)
+        raw = text.encode()
+        for grams in _pieces(raw):
+            counts[place[lang]] += np.bincount(grams, minlength=BUCKETS)
+        singles[place[lang]] += np.bincount(np.frombuffer(raw.lower(), np.uint8), minlength=256)
+    return Model(languages, counts, singles, limits)
 
 
 def text_evidence(model: Model, text: str | Column = "text") -> Column:
-    """Array of the letters' share of the visible bytes, then the log-likelihood by language."""
-    shared = model.weights, model.languages
+    """Array of the shares of letters and of plain bytes among the visible ones, then the log-likelihoods of no language and of each language."""
+    shared = model.weights, model.languages, model.single
 
     @F.arrow_udf("array<double>")
     def evidence(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model.__new__(Model)
-        own.weights, own.languages = shared
+        own.weights, own.languages, own.single = shared
         for texts in batches:
             out = []
             for raw in texts.cast(pa.binary()).to_pylist():
@@ -118,7 +148,8 @@ def text_evidence(model: Model, text: str | Column = "text") -> Column:
                 x = np.frombuffer(raw, np.uint8)
                 visible = len(x) - int(_SPACE[x].sum())
                 share = int(_LETTER[x].sum()) / visible if visible else 0.0
-                out.append([share, *own.score(raw)])
+                plain = (int(_PLAIN[x].sum()) + PLAIN_BYTES) / (visible + PLAIN_BYTES)
+                out.append([share, plain, *own.score(raw)])
             yield pa.array(out, pa.list_(pa.float64()))
         release_memory()
 
@@ -142,24 +173,16 @@ def _likelihood(languages: list[str], value: Column, trust: float) -> list[Colum
     ]
 
 
-def host_priors(scored: DataFrame, languages: list[str], prior_rows: float) -> DataFrame:
-    """host, suffix and ``prior``: the smoothed log-prior by language, from all rows."""
-    names = [f"m{i}" for i in range(len(languages))]
-    mass = _softmax(F.slice(F.col("evidence"), 2, len(languages)))
-    seen = scored.filter(F.element_at("evidence", 1) > 0).select("host", "suffix", mass.alias("mass"))
-    hosts = seen.groupBy("host", "suffix").agg(
-        F.count(F.lit(1)).alias("n"), *(F.sum(F.col("mass")[i]).alias(m) for i, m in enumerate(names))
-    )
+def host_sums(scored: DataFrame, languages: int) -> tuple[DataFrame, list[float]]:
+    """(host, suffix, n, m, sn, sm): rows and posteriors by language of each host and suffix; then those of all rows."""
+    names = [f"m{i}" for i in range(languages)]
+    seen = scored.filter(F.element_at("evidence", 1) > 0)
+    hosts = seen.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col("mass")[i]).alias(m) for i, m in enumerate(names)))
     hosts = materialize(hosts)
-    total = hosts.agg(F.sum("n"), *map(F.sum, names)).first()
-    rows = total[0] or 0
-    everywhere = [((total[i + 1] or 0.0) + 1) / (rows + len(languages)) for i in range(len(languages))]
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("sn"), *(F.sum(m).alias(f"s{m}") for m in names))
-    by_suffix = [
-        (F.col(f"s{m}") + prior_rows * everywhere[i]) / (F.col("sn") + prior_rows) for i, m in enumerate(names)
-    ]
-    priors = [F.log((F.col(m) + prior_rows * p) / (F.col("n") + prior_rows)) for m, p in zip(names, by_suffix, strict=True)]
-    return materialize(hosts.join(suffixes, "suffix").select("host", "suffix", F.array(*priors).alias("prior")))
+    every = hosts.agg(F.sum("n"), *map(F.sum, names)).first()
+    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("sn"), F.array(*(F.sum(m) for m in names)).alias("sm"))
+    out = hosts.join(suffixes, "suffix").select("host", "suffix", "n", F.array(*names).alias("m"), "sn", "sm")
+    return materialize(out), [float(x or 0) for x in every]
 
 
 def identify(
@@ -172,61 +195,75 @@ def identify(
     declared_trust: float = 0.9,
     suffix_trust: float = 0.7,
     prior_rows: float = 20.0,
-    min_letters: float = 0.35,
+    other: float = 0.01,
+    min_letters: float = 0.2,
+    min_plain: float = 0.8,
     min_posterior: float = 0.5,
     accepted: list[str] | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` and the columns __langid_lang, __langid_posterior and __langid_accepted."""
+    """The columns ``keep`` of ``docs`` (all by default), then __langid_lang, _posterior, _accepted and _letters."""
     bound_batches(docs.sparkSession)
-    languages = model.languages
-    blank = F.lit("")
-    own = {
-        "declared": F.lower(F.regexp_extract(F.coalesce(declared.cast("string"), blank), r"^\s*([A-Za-z]+)", 1)) if declared is not None else blank,
-        "host": F.lower(F.coalesce(host.cast("string"), blank)) if host is not None else blank,
-        "suffix": F.lower(F.coalesce(suffix.cast("string"), blank)) if suffix is not None else blank,
-        "evidence": text_evidence(model, text),
+    languages, own = model.languages, own_prefix(docs.columns, OWN)
+    width, blank = len(languages), F.lit("")
+    of = lambda name: F.col(own + name)
+    cleaned = lambda c: F.lower(F.coalesce(c.cast("string"), blank)) if c is not None else blank
+    given = {
+        "declared": F.regexp_extract(cleaned(declared), r"^\s*([a-z]+)", 1) if declared is not None else blank,
+        "host": cleaned(host),
+        "suffix": cleaned(suffix),
+        "evidence": text_evidence(model, F.col(f"`{text}`")),
     }
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    scored = docs.select(*kept, *(c.alias(_OWN + n) for n, c in own.items()))
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
+    scored = docs.select(*kept, *(c.alias(own + n) for n, c in given.items()))
     if not languages:
-        fused = F.lit(None).cast("array<double>")
-        joined = scored
-    else:
-        priors = host_priors(
-            scored.select(*(F.col(_OWN + n).alias(n) for n in ("host", "suffix", "evidence"))), languages, prior_rows
-        ).select(F.col("host").alias(f"{_OWN}h"), F.col("suffix").alias(f"{_OWN}s"), F.col("prior").alias(f"{_OWN}prior"))
-        size = priors.agg(F.sum(F.octet_length(f"{_OWN}h") + F.octet_length(f"{_OWN}s") + 8 * len(languages) + 32)).first()[0] or 0
-        if size <= BROADCAST_BYTES:
-            priors = F.broadcast(priors)
-        on = (F.col(f"{_OWN}host") == F.col(f"{_OWN}h")) & (F.col(f"{_OWN}suffix") == F.col(f"{_OWN}s"))
-        joined = scored.join(priors, on, "left")
-        named = F.create_map(*(F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv))
-        by_declared = _likelihood(languages, F.col(f"{_OWN}declared"), declared_trust)
-        by_suffix = _likelihood(languages, F.coalesce(F.element_at(named, F.col(f"{_OWN}suffix")), blank), suffix_trust)
-        fused = F.array(
-            *(
-                F.col(f"{_OWN}evidence")[i + 1] + by_declared[i] + by_suffix[i] + F.coalesce(F.col(f"{_OWN}prior")[i], F.lit(0.0))
-                for i in range(len(languages))
-            )
-        )
-    joined = joined.withColumn(f"{_OWN}post", _softmax(fused) if languages else fused)
-    post, share = F.col(f"{_OWN}post"), F.col(f"{_OWN}evidence")[0]
-    best = F.array_max(post)
-    names = F.array(*map(F.lit, languages)) if languages else F.lit(None).cast("array<string>")
-    lang = F.element_at(names, F.array_position(post, best).cast("int")) if languages else F.lit(None).cast("string")
-    fine = (share >= min_letters) & (share > 0) & (best >= min_posterior) & (lang.isin(accepted) if accepted is not None else F.lit(True))
+        none = [F.lit(None).cast(t).alias(own + n) for n, t in (("lang", "string"), ("posterior", "double"))]
+        return scored.select(*kept, *none, F.lit(False).alias(f"{own}accepted"), of("evidence")[0].alias(f"{own}letters"))
+    scored = materialize(scored)
+    mass = _softmax(F.slice(of("evidence"), 4, width))
+    sums, (rows, *totals) = host_sums(scored.select(*(of(n).alias(n) for n in ("host", "suffix", "evidence")), mass.alias("mass")), width)
+    size = sums.agg(F.sum(F.octet_length("host") + F.octet_length("suffix") + 16 * width + 64)).first()[0] or 0
+    sums = sums.select(*(F.col(c).alias(f"{own}sum_{c}") for c in sums.columns))
+    if size <= BROADCAST_BYTES:
+        sums = F.broadcast(sums)
+    joined = scored.join(sums, (of("host") == of("sum_host")) & (of("suffix") == of("sum_suffix")), "left")
+    joined = joined.withColumn(f"{own}mass", mass).withColumn(f"{own}one", F.when(of("evidence")[0] > 0, 1.0).otherwise(0.0))
+
+    def prior(i: int) -> Column:
+        """The log-prior of a language from the rows other than this one."""
+        mine = of("mass")[i] * of("one")
+        less = lambda total: F.greatest(F.coalesce(total, F.lit(0.0)) - mine, F.lit(0.0))
+        count = lambda total: F.greatest(F.coalesce(total, F.lit(0)) - of("one"), F.lit(0.0))
+        everywhere = (less(F.lit(totals[i])) + 1) / (count(F.lit(rows)) + width)
+        by_suffix = (less(of("sum_sm")[i]) + prior_rows * everywhere) / (count(of("sum_sn")) + prior_rows)
+        return F.log((less(of("sum_m")[i]) + prior_rows * by_suffix) / (count(of("sum_n")) + prior_rows))
+
+    named = F.create_map(*(F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv))
+    by_declared = _likelihood(languages, of("declared"), declared_trust)
+    by_suffix = _likelihood(languages, F.coalesce(F.element_at(named, of("suffix")), blank), suffix_trust)
+    fused = [of("evidence")[i + 3] + by_declared[i] + by_suffix[i] + prior(i) + math.log(1 - other) for i in range(width)]
+    joined = joined.withColumn(f"{own}post", _softmax(F.array(of("evidence")[2] + math.log(other), *fused)))
+    share, best = of("evidence")[0], F.array_max(F.slice(of("post"), 2, width))
+    lang = F.element_at(F.array(*map(F.lit, languages)), F.array_position(F.slice(of("post"), 2, width), best).cast("int"))
+    fine = (share >= min_letters) & (share > 0) & (of("evidence")[1] >= min_plain) & (best >= min_posterior) & (lang.isin(accepted) if accepted is not None else F.lit(True))
     return joined.select(
         *kept,
-        lang.alias(f"{_OWN}lang"),
-        best.alias(f"{_OWN}posterior"),
-        F.coalesce(fine, F.lit(False)).alias(f"{_OWN}accepted"),
-        share.alias(f"{_OWN}letters"),
+        lang.alias(f"{own}lang"),
+        best.alias(f"{own}posterior"),
+        F.coalesce(fine, F.lit(False)).alias(f"{own}accepted"),
+        share.alias(f"{own}letters"),
     )
 
 
 def accept(docs: DataFrame, model: Model, **options) -> DataFrame:
     """The documents that language ID accepts, with all their columns."""
-    return identify(docs, model, **options).filter(F.col(f"{_OWN}accepted")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    flag = own_prefix(docs.columns, OWN) + "accepted"
+    return identify(docs, model, **options).filter(F.col(flag)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def address_suffix(host: Column) -> Column:
+    """What stands behind the last dot of a host's name; '' where there is none."""
+    return F.regexp_extract(F.coalesce(host.cast("string"), F.lit("")), r"\.([A-Za-z]{2,})$", 1)
 
 
 def page_columns(pages: DataFrame) -> DataFrame:
@@ -240,5 +277,5 @@ def page_columns(pages: DataFrame) -> DataFrame:
         F.trim(bare).alias("text"),
         F.regexp_extract(html, r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1).alias("declared"),
         host.alias("host"),
-        F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"),
+        address_suffix(host).alias("suffix"),
     )

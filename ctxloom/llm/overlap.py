@@ -1,10 +1,14 @@
-"""Near copies by the overlap of word shingles, exact at any size.
+"""Near copies by SimHash and the overlap of word shingles, exact at any size.
 
 Two texts are linked where the Jaccard overlap of their sets of ``SHINGLE``-word
 shingles is 4/5 or more, and links are closed to components. Shingles stand as
 64-bit hashes; texts of equal sets make one class, found by a hash of the set.
 
-The search is a prefix filter. In any one order of all shingles, two sets of n
+SimHash goes first: the classes' fingerprints (the majority bits of their shingles'
+hashes) are searched by the generalised pigeonhole of ``simhash`` up to ``DISTANCE`` bits,
+and what it finds is verified by overlap. No distance that can be searched finds all
+of these pairs: at an overlap of 4/5 some ten of 64 bits differ in the mean. So the rest
+is found by a prefix filter, among classes that are not linked yet. In any one order of all shingles, two sets of n
 and m that overlap by 4/5 share a shingle among the first n - ceil(4n/5) + 1 of
 the one and the first m - ceil(4m/5) + 1 of the other, so only what shares one is
 compared. The order puts rare shingles first, by counts of a sample in a table of
@@ -35,9 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bound_batches, materialize, utf8, values
-from .simhash import BROADCAST_BYTES, ROW_BYTES, SEED, connected, first_of_each
+from .simhash import BROADCAST_BYTES, ROW_BYTES, SEED, connected, first_of_each, majority, near_links
 
 SHINGLE = 5
+#: Bits in which SimHash fingerprints of candidates differ at most.
+DISTANCE = 3
 CELLS, SLICES = 1 << 22, 64
 #: Documents whose shingles are counted, in the mean, for the order.
 SAMPLE = 1 << 16
@@ -81,6 +87,13 @@ def parities(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def simhash(found: np.ndarray) -> int:
+    """The signed SimHash fingerprint of a set of shingles."""
+    hashes = found.view(np.uint64)
+    parts = (hashes[at : at + _BLOCK] for at in range(0, len(hashes), _BLOCK))
+    return int(np.uint64(majority(len(hashes), parts)).view(np.int64))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """The class ``fp`` and the set of each document."""
 
@@ -126,7 +139,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def marks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, class ``fp``, size ``n`` and parities of the set, and the shingles of which another must share one."""
+    """doc_id, class ``fp``, size ``n``, parities and SimHash of the set, and the shingles of which another must share one."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
@@ -137,12 +150,13 @@ def marks(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 "fp": pa.array([set_class(x) for x in found], pa.int64()),
                 "n": pa.array([len(x) for x in found], pa.int64()),
                 "bits": pa.array([parities(x) for x in found], pa.binary()),
+                "sim": pa.array([simhash(x) for x in found], pa.int64()),
                 "firsts": _lists(firsts),
             }
 
         return each
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, fp long, n long, bits binary, firsts array<long>")
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, fp long, n long, bits binary, sim long, firsts array<long>")
 
 
 def _by_bucket(rows: DataFrame, order: list[str], emit: Callable[[list[np.ndarray]], Iterator[list[np.ndarray]]], schema: str) -> DataFrame:
@@ -242,16 +256,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
     return materialize(both.filter(9 * F.col("both") >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
+def simhash_links(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Verified links (a, b) of classes whose SimHash fingerprints are equal or near."""
+    probes = materialize(named.groupBy("sim").agg(F.min("fp").alias("rep")))
+    found = near_links(probes.select(F.col("sim").alias("fp")), DISTANCE)
+    ends = [probes.select(F.col("sim").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
+    near = found.join(ends[0], "a").join(ends[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    equal = named.join(probes, "sim").filter("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    return _verified(near.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, named)
+
+
 def overlap_links(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect all classes whose sets overlap by 4/5 or more."""
     firsts = marked.select(F.explode("firsts").alias("h"), "fp", "n")
     shared = materialize(_by_bucket(firsts, ["n", "fp"], _shared, "h long, fp long, n long"))
     rows = materialize(shared.join(named.select("fp", "bits"), "fp").select("h", "fp", "n", "bits"))
-    links, roots, before, turn = None, None, None, 0
+    links, before, turn = simhash_links(docs, named), None, 0
     while True:
-        now = rows.withColumn("root", F.col("fp"))
-        if roots is not None:
-            now = rows.join(roots, rows["fp"] == roots["node"], "left").select("h", "fp", "n", "bits", F.coalesce("root", "fp").alias("root"))
+        roots = materialize(connected(links))
+        now = rows.join(roots, rows["fp"] == roots["node"], "left").select("h", "fp", "n", "bits", F.coalesce("root", "fp").alias("root"))
         of = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h")
         of = of.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("c * c > same")
         n, left = of.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2), F.lit(0))).first()
@@ -259,17 +282,16 @@ def overlap_links(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataF
         now = now.withColumn("turn", F.xxhash64("fp", F.lit(turn)))
         found = _by_bucket(now, ["root"] if last else ["turn"], _crossing if last else _stars, "a long, b long")
         found = _verified(found, docs, named)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         if last:
             return links
         before, turn = left, turn + 1
-        roots = materialize(connected(links))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the class), component_id and root of every document."""
     marked = materialize(marks(docs, frequencies(docs)))
-    named = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits")))
+    named = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits"), F.min("sim").alias("sim")))
     roots = connected(overlap_links(docs, marked, named))
     linked = named.join(roots, named["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))

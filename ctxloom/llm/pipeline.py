@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import remove, scratch, table
 from .decontaminate import drop_contaminated
-from .langid import accept, train
+from .langid import accept, address_suffix, train
 from .linededup import drop_boilerplate
 from .overlap import keep_one
 from .packing import pack
@@ -22,12 +22,17 @@ from .queries import VOCABULARY
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the fused evidence settles; ``lang`` is what they declare."""
-    return accept(docs, train(docs), declared=F.col("lang"), host=F.col("source"))
+    """Documents in plain text of a trained language, by text and host.
+
+    ``lang`` labels the training sample and is no evidence. Rejected are null and empty
+    texts, texts of no trained language and texts full of signs.
+    """
+    host = F.col("source")
+    return accept(docs, train(docs), host=host, suffix=address_suffix(host))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; n_chars follows the text."""
+    """Texts without the boilerplate lines of their source; n_chars follows the text. Null texts stay null."""
     return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -60,8 +65,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents below ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for the documents below ``sf_dir``.
+
+    A stage's own tables are removed when its result is written, and that when the
+    next one's is; the rows returned read tables of the last stage.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with scratch(spark) as write:
+            path, docs = write(stage(spark, docs, sf_dir))
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,7 +17,7 @@ from .chatformat import BODY, CONTROLS, END, START, format_conversations, read_b
 from .common import arrow_map, strings, table, values
 from .decontaminate import find_contamination
 from .fingerprint import neighbour_report
-from .langid import identify, page_columns, train
+from .langid import address_suffix, identify, page_columns, train
 from .linededup import drop_boilerplate
 from .packing import pack
 from .secretscan import scan_secrets
@@ -71,16 +71,23 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents declare a language in ``lang``; their host is ``source``."""
+    """The language of each document by its text and its host, ``source``.
+
+    ``lang`` labels the sample that the model is trained on and is no evidence;
+    ``trained`` tells that sample's rows, so that accuracy can be read from the others.
+    """
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text", "lang", "source"), train(docs), declared=F.col("lang"), host=F.col("source"))
+    model = train(docs)
+    host = F.col("source")
+    found = identify(docs.select("doc_id", "text", "lang", "source"), model, host=host, suffix=address_suffix(host), keep=["doc_id", "lang"])
     return found.select(
         "doc_id",
-        F.col("lang").alias("declared"),
+        F.col("lang").alias("label"),
         F.col("__langid_lang").alias("language"),
         F.col("__langid_posterior").alias("posterior"),
         F.col("__langid_letters").alias("letter_share"),
         F.col("__langid_accepted").alias("accepted"),
+        model.trained_on(F.col("doc_id"), F.col("lang")).alias("trained"),
     )
 
 
@@ -92,7 +99,8 @@ def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fusion over pages, with markup language, address suffix and host."""
     pages = page_columns(table(spark, sf_dir, "pages"))
     found = identify(
-        pages, train(table(spark, sf_dir, "documents")), declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix")
+        pages, train(table(spark, sf_dir, "documents")), declared=F.col("declared"), host=F.col("host"), suffix=F.col("suffix"),
+        keep=["page_id", "host", "declared"],
     )
     return found.select(
         "page_id", "host", "declared", F.col("__langid_lang").alias("language"),
@@ -207,19 +215,15 @@ ORACLE_SQL = {
                sum({len(START + BODY + END)} + {_sql_escaped("role")} + {_sql_escaped("text")})::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id""",
     "op9_line_dedup": r"""
-        WITH pages AS (SELECT DISTINCT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),
+        WITH pages AS (SELECT coalesce(source, '') AS host, text FROM documents WHERE text IS NOT NULL),
         totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
-        lines AS (SELECT DISTINCT host, text, unnest(string_split(text, chr(10))) AS line FROM pages),
-        counts AS (SELECT host, line, count(*) AS n FROM lines
-                   WHERE NOT regexp_full_match(line, '\s*') GROUP BY host, line),
-        boiler AS (SELECT host, list(line) AS drops FROM counts JOIN totals USING (host)
-                   WHERE n >= 3 AND n > 0.1 * pages GROUP BY host),
+        lines AS (SELECT host, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages),
+        counts AS (SELECT host, line, count(*) AS n FROM lines WHERE NOT regexp_full_match(line, '\s*') GROUP BY host, line),
+        boiler AS (SELECT host, list(line) AS drops FROM counts JOIN totals USING (host) WHERE n / pages > 0.1 GROUP BY host),
         split AS (SELECT d.*, string_split(text, chr(10)) AS parts, coalesce(drops, []) AS drops
                   FROM documents d LEFT JOIN boiler b ON coalesce(d.source, '') = b.host),
-        cut AS (SELECT *, list_filter(parts, lambda x: NOT list_contains(drops, x)) AS kept FROM split),
-        done AS (SELECT *, len(list_filter(kept, lambda x: NOT regexp_full_match(x, '\s*'))) > 0 AS framed FROM cut)
-        SELECT doc_id, source, coalesce(len(parts), 0)::BIGINT AS n_lines,
-               (CASE WHEN framed THEN len(parts) - len(kept) ELSE 0 END)::BIGINT AS n_dropped,
-               CASE WHEN framed THEN array_to_string(kept, chr(10)) ELSE text END AS text
-        FROM done""",
+        cut AS (SELECT *, list_filter(parts, lambda x: NOT list_contains(drops, x)) AS kept FROM split)
+        SELECT doc_id, source, coalesce(len(parts), 0)::BIGINT AS n_lines, coalesce(len(parts) - len(kept), 0)::BIGINT AS n_dropped,
+               array_to_string(kept, chr(10)) AS text
+        FROM cut""",
 }

@@ -30,7 +30,7 @@ smallest id that is not null; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, materialize, utf8, values
+from .common import arrow_map, materialize, own_prefix, utf8, values
 
 _CHUNK = 1 << 16
 SEED = 42
@@ -62,11 +62,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     starts = ends - lengths
     width = min(shingle, len(words))
     first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest, n = xxhash.xxh64_intdigest, len(first)
+    digest = xxhash.xxh64_intdigest
+    spans = zip(first, last, strict=True)
+    return majority(len(first), (np.fromiter((digest(line[s:e], SEED) for s, e in itertools.islice(spans, _CHUNK)), np.uint64) for _ in range(0, len(first), _CHUNK)))
+
+
+def majority(n: int, parts: Iterable[np.ndarray]) -> int:
+    """The bits that over half of n unsigned 64-bit hashes have, given in parts of bounded size."""
     set_bits = np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
-        spans = zip(first[at : at + _CHUNK], last[at : at + _CHUNK], strict=True)
-        hashes = np.fromiter((digest(line[s:e], SEED) for s, e in spans), np.uint64)
+    for hashes in parts:
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         set_bits += bits.sum(axis=0, dtype=np.int32)
     return sum(1 << int(b) for b in np.flatnonzero(2 * set_bits > n))
@@ -306,16 +310,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket
     return marked.join(known, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def _with_fingerprint(docs: DataFrame, mark: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
-    """All columns and what ``mark`` makes of them as __fp."""
+def _with_fingerprint(docs: DataFrame, mark: Callable[[pa.RecordBatch], pa.Array], name: str) -> DataFrame:
+    """All columns and what ``mark`` makes of them."""
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            return dict(zip(batch.schema.names, batch.columns, strict=True)) | {"__fp": mark(batch)}
+            return dict(zip(batch.schema.names, batch.columns, strict=True)) | {name: mark(batch)}
 
         return each
 
-    return arrow_map(docs, make, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    return arrow_map(docs, make, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
@@ -334,23 +338,22 @@ def first_of_each(docs: DataFrame, found: DataFrame, mark: Callable[[pa.RecordBa
     have none, are told apart by their fingerprints as well, which ``mark`` gives, and of
     several that could stand for a component one stays.
     """
-    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("__first_fp"))
-    shared = (F.col("__rows") > 1) | F.col("__first_id").isNull()
-    first = materialize(
-        first.withColumnsRenamed({"doc_id": "__first_id", "root": "__root"})
-        .join(rows, F.col("__first_id").eqNullSafe(F.col("doc_id")))
-        .select("__first_id", "__first_fp", "__root", shared.alias("__shared"))
-    )
-    own = F.col("doc_id").eqNullSafe(F.col("__first_id"))
-    alone = first.filter("not __shared").select("__first_id")
+    own = own_prefix(docs.columns, "__near_")
+    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("fp"))
+    first = first.withColumnsRenamed({"doc_id": "first_id"}).join(rows, F.col("first_id").eqNullSafe(F.col("doc_id")))
+    shared = (F.col("rows") > 1) | F.col("first_id").isNull()
+    first = first.select("first_id", "fp", "root", shared.alias("shared"))
+    first = materialize(first.withColumnsRenamed({c: own + c for c in first.columns}))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{own}first_id"))
+    alone = first.filter(~F.col(f"{own}shared")).select(f"{own}first_id")
     if first.count() * ROW_BYTES <= BROADCAST_BYTES:
         alone = F.broadcast(alone)
-    once = docs.join(alone, own, "left_semi")
-    again = first.filter("__shared")
+    once = docs.join(alone, same, "left_semi")
+    again = first.filter(f"{own}shared")
     if again.isEmpty():
         return once
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    several = _with_fingerprint(docs.join(again.select("__first_id").distinct(), own, "left_semi"), mark)
-    chosen = several.join(again, own & (F.col("__fp") == F.col("__first_fp"))).dropDuplicates(["__root"]).select(*columns)
+    several = _with_fingerprint(docs.join(again.select(f"{own}first_id").distinct(), same, "left_semi"), mark, f"{own}mark")
+    chosen = several.join(again, same & (F.col(f"{own}mark") == F.col(f"{own}fp"))).dropDuplicates([f"{own}root"]).select(*columns)
     return once.unionByName(chosen)

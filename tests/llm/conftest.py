@@ -1,7 +1,7 @@
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-NAMES = ("start", "end", "n", "h", "fp", "canon", "host", "keys", "node", "root", "dest", "kind", "blob", "salt", "length", "rank", "sequence_id", "offset", "n_words", "n_hit", "n_lines", "evidence", "part")
+NAMES = ("start", "end", "n", "h", "fp", "canon", "host", "keys", "node", "root", "dest", "kind", "blob", "salt", "length", "rank", "sequence_id", "offset", "n_words", "n_hit", "n_lines", "evidence", "part", "sim", "__linededup_text", "__linededup_host", "__langid_host", "__langid_h", "__langid_lang", "__first_id", "__near_mark", "__Part")
 
 
 @pytest.fixture(scope="session")

@@ -284,14 +284,37 @@ def speech(rng, lang, n):
 
 
 def test_language_on_held_out_rows(spark):
+    """Rows outside the sample, whose labels are no evidence, and texts of no trained language."""
     rng = random.Random(9)
-    rows = [(i, speech(rng, lang := rng.choice(list(SPEECH)), rng.randint(8, 60)), lang, f"h{lang}", 0) for i in range(600)]
-    seen = spark.createDataFrame(rows[:300], DOCS)
-    model = langid.train(seen, per_language=60)
+    rows = [(i, speech(rng, lang := rng.choice(list(SPEECH)), rng.randint(8, 60)), lang, f"h{rng.randrange(9)}", 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.train(docs, per_language=100)
     assert model.languages == sorted(SPEECH)
-    rest = spark.createDataFrame(rows[300:], DOCS)
-    found = langid.identify(rest, model, host=F.col("source")).collect()
-    assert np.mean([r.lang == r["__langid_lang"] for r in found]) > 0.98 and all(r["__langid_accepted"] for r in found)
+    found = langid.identify(docs, model, host=F.col("source")).withColumn("trained", model.trained_on(F.col("doc_id"), F.col("lang")))
+    rest = found.filter("not trained").collect()
+    assert 300 < len(rest) < 800 and np.mean([r.lang == r["__langid_lang"] for r in rest]) > 0.98
+    assert np.mean([r["__langid_accepted"] for r in rest]) > 0.99
+    foreign = ["ihmiset syntyv\u00e4t vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "\u0432\u0441\u0435 \u043b\u044e\u0434\u0438 \u0440\u043e\u0436\u0434\u0430\u044e\u0442\u0441\u044f", "xq zv wkjq zxcv qwrt plkj mnbv xqz vwk jqz " * 4]
+    signs = [w.replace(" ", "%%% ") for w in (speech(rng, "en", 30), speech(rng, "fr", 50))] + ["#" * 50, "1234 5678 " * 9]
+    bad = spark.createDataFrame([(5000 + i, t, "en", "h1", 0) for i, t in enumerate(foreign + signs)], DOCS)
+    assert [r.doc_id for r in langid.accept(bad, model, host=F.col("source")).collect()] == []
+
+
+def test_many_labels_are_all_kept(spark):
+    rows = [(i, f"w{i % 90}x" * 20, f"l{i % 90}", "h", 0) for i in range(270)]
+    model = langid.train(spark.createDataFrame(rows, DOCS))
+    assert len(model.languages) == 90
+
+
+def test_host_priors_leave_the_row_out(spark):
+    """A lone row of a host has the prior that a host without rows has."""
+    rng = random.Random(3)
+    rows = [(i, speech(rng, "en" if i % 2 else "fr", 30), "en" if i % 2 else "fr", "big", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.train(docs)
+    with_lone = docs.unionByName(spark.createDataFrame([(900, "os", None, "lone", 0), (901, "os", None, None, 0)], DOCS))
+    got = {r.doc_id: r["__langid_posterior"] for r in langid.identify(with_lone, model, host=F.col("source"), prior_rows=1.0).collect()}
+    assert got[900] == pytest.approx(got[901], abs=1e-9)
 
 
 def test_language_evidence(spark):
@@ -303,6 +326,8 @@ def test_language_evidence(spark):
     found = {r.doc_id: r for r in langid.identify(both, model, declared=F.col("lang"), host=F.col("source"), declared_trust=0.999).collect()}
     assert found[900]["__langid_lang"] == "fr" and found[901]["__langid_lang"] == "de"
     assert not any(found[i]["__langid_accepted"] for i in (902, 903, 904))
+    by_suffix = langid.identify(both, model, suffix=F.when(F.col("doc_id") == 900, "fr").when(F.col("doc_id") == 901, "at"), suffix_trust=0.999).collect()
+    assert {r.doc_id: r["__langid_lang"] for r in by_suffix if r.doc_id in (900, 901)} == {900: "fr", 901: "de"}
     kept = langid.accept(both, model, declared=F.col("lang"), host=F.col("source"))
     assert kept.columns == docs.columns and kept.count() >= 90
     only = langid.identify(docs, model, accepted=["fr"]).filter("__langid_accepted").select("lang").distinct().collect()
@@ -492,19 +517,18 @@ def test_line_dedup_against_brute_force(spark):
     pages = {}
     for _, text, _, host, _ in rows:
         if text is not None:
-            pages.setdefault(host or "", set()).add(text)
-    want = {}
-    for i, text, _, host, _ in rows:
-        if text is None:
-            want[i] = None
-            continue
-        own = pages[host or ""]
-        many = lambda line, own=own: line.strip() and (n := sum(line in p.split("\n") for p in own)) >= 3 and n > 0.1 * len(own)
-        kept = [line for line in text.split("\n") if not many(line)]
-        want[i] = "\n".join(kept) if any(line.strip() for line in kept) else text
-    docs = spark.createDataFrame(rows, DOCS)
-    assert {r.doc_id: r.text for r in linededup.drop_boilerplate(docs).collect()} == want
-    assert sum(want[i] != t for i, t, *_ in rows) > 20 and want[991] == "menu of a\nmenu of a"
+            pages.setdefault(host or "", []).append(text)
+    for least in (1, 3):
+        want = {}
+        for i, text, _, host, _ in rows:
+            own = pages.get(host or "", [])
+            many = lambda line, own=own: line.strip() and (n := sum(line in p.split("\n") for p in own)) >= least and n / len(own) > 0.1  # noqa: E731, B023
+            want[i] = None if text is None else "\n".join(line for line in text.split("\n") if not many(line))
+        docs = spark.createDataFrame(rows, DOCS)
+        assert {r.doc_id: r.text for r in linededup.drop_boilerplate(docs, min_pages=least).collect()} == want
+        assert sum(want[i] != t for i, t, *_ in rows) > 20 and want[991] == "" and want[900].strip() == ""
+    alone = spark.createDataFrame([(1, "a\n\nb", "en", "small", 0)], DOCS)
+    assert linededup.drop_boilerplate(alone).first().text == "" and linededup.drop_boilerplate(alone, min_pages=2).first().text == "a\n\nb"
 
 
 # --- fingerprints ------------------------------------------------------------------------------
