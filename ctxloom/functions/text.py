@@ -26,7 +26,11 @@ def with_line_numbers(content: Column, max_bytes: int) -> Column:
     return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit(": "), x)), "\n")
 
 
-def trimmed(content: Column, limit: int, marker: str = "\n... [truncated, file continues]") -> Column:
+#: Fixed value: what stands for the rest of a text.
+TRUNCATED = "\n... [truncated, file continues]"
+
+
+def trimmed(content: Column, limit: int, marker: str = TRUNCATED) -> Column:
     """Cut to ``limit`` characters with a marker."""
     return F.when(F.length(content) > limit, F.concat(F.substring(content, 1, limit), F.lit(marker))).otherwise(content)
 
@@ -67,5 +71,5 @@ def memory_lines(content: Column) -> Column:
 def exported_names(content: Column) -> Column:
     """Distinct names that a plain pattern finds declared by export, in order."""
     # fixed value: the plain pattern
-    pattern = r"export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
+    pattern = r"(?:^|\s)export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+(\w+)"
     return F.array_distinct(F.regexp_extract_all(content, F.lit(pattern), 1))

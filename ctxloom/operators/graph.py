@@ -5,10 +5,11 @@ order of (frontier position, edge order) by a higher-order aggregate, because th
 cap of a parent and the removal of nodes already taken depend on each other. Nodes
 that the tier cap cuts off stay visited.
 
-A hub may have any number of edges, but of a parent's new children only the first
-few can matter: each is skipped only for a node that another parent of the tier has
-taken, of which there are at most per_tier x per_parent. So each parent's children
-are reduced to distinct ones, and to that many, before anything is collected.
+A hub may have any number of edges, but of a parent's children only the first few can
+matter: each is skipped only for a node that was visited before or that another parent
+of the tier has taken, and both are bounded by the caps. So a node's arcs are reduced
+to distinct ones, and to that many, before they meet a start. The nodes that a hop
+takes are written once, as the tier, the visited nodes and the next hop all read them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import written
+
 _NODE = "struct<path:string,via:string,via_symbols:array<string>,type:string>"
 
 
@@ -41,22 +44,24 @@ def traverse(
     starts(start); arcs(node, arc_ord, next, symbols, type), whose arc_ord orders the
     arcs of a node.
     """
+    once = arcs.groupBy("node", "next").agg(F.min_by(F.struct("arc_ord", "symbols", "type"), "arc_ord").alias("first")).select("node", "next", "first.*")
+    ranked = once.withColumn("nth", F.row_number().over(W.partitionBy("node").orderBy("arc_ord", "next")))
     frontier = starts.select("start", F.lit(0).alias("pos"), F.col("start").alias("path")).distinct()
     visited = frontier.select("start", "path")
     tiers: list[DataFrame] = []
+    seen, parents = 1, 1  # most nodes visited before a hop, and most parents of it
     for hop in range(1, max_hops + 1):
-        reached = frontier.join(arcs, frontier["path"] == arcs["node"]).select(
+        few = ranked.filter(F.col("nth") <= seen + parents * per_parent)
+        reached = frontier.join(few, frontier["path"] == few["node"]).select(
             "start", "pos", "arc_ord", F.col("next").alias("path"), F.col("node").alias("via"), F.col("symbols").alias("via_symbols"), "type"
         )
         fresh = reached.join(visited, ["start", "path"], "left_anti")
-        once = fresh.groupBy("start", "pos", "via", "path").agg(
-            F.min_by(F.struct("arc_ord", "via_symbols", "type"), "arc_ord").alias("first")
-        ).select("start", "pos", "via", "path", "first.*")
-        within = W.partitionBy("start", "pos").orderBy("arc_ord", "path")
-        few = once.withColumn("nth", F.row_number().over(within)).filter(F.col("nth") <= per_parent * (per_tier + 1)).drop("nth")
-        folded = few.groupBy("start").agg(
+        folded = fresh.groupBy("start").agg(
             capped_fold(F.array_sort(F.collect_list(F.struct("pos", "arc_ord", "path", "via", "via_symbols", "type"))), per_parent).alias("taken")
         )
+        seen, parents = seen + parents * per_parent, per_tier
+        if hop < max_hops:
+            folded = written(folded)
         tier = folded.select("start", F.posexplode(F.slice("taken", 1, per_tier)).alias("pos", "n")).select(
             "start", F.lit(direction).alias("direction"), F.lit(hop).alias("hop"), "pos", "n.path", "n.via", "n.via_symbols", "n.type"
         )

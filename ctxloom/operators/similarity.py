@@ -2,7 +2,8 @@
 
 The targets are the stated query set (the changed files); they are sent to the
 executors in blocks of at most ``block_bytes`` of vectors, whose size is measured,
-and meet every vector once per block. Each task keeps its best k of a target before
+and meet every vector once per block; of several, the rows of one are written and its
+broadcast is destroyed before the next is sent. Each task keeps its best k of a target before
 anything is shuffled, so what moves is targets x tasks x k rows.
 """
 
@@ -12,10 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def dot(a: Column, b: Column) -> Column:
     """Products added from left to right."""
@@ -28,15 +32,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms).otherwise(0.0)
 
 
-def cosine_pairs(targets: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(target, id, score > 0) of all targets and vectors other than themselves, in built-in functions.
-
-    targets(target, vec), whose size the caller has checked; vectors(id, vec).
-    """
-    pairs = vectors.join(F.broadcast(targets.select("target", F.col("vec").alias("t_vec"))), F.col("target") != F.col("id"))
-    return pairs.select("target", "id", cosine(F.col("t_vec"), F.col("vec")).alias("score")).filter("score > 0")
-
-
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     """The best k of each target by score to four places, ties by id."""
     order = W.partitionBy("target").orderBy(F.desc("score"), "id")
@@ -55,7 +50,10 @@ def top_k(targets: DataFrame, vectors: DataFrame, k: int = 8, block_bytes: int =
     best = None
     for i in range(blocks):
         part = targets if blocks == 1 else targets.filter(block == i)
-        found = _block_best(part.select("target", "vec"), vectors.select("id", "vec"), k)
+        shared, found = _block_best(part.select("target", "vec"), vectors.select("id", "vec"), k)
+        if blocks > 1:
+            found = written(found)
+            shared.destroy()
         best = found if best is None else best.unionByName(found)
     return ranked(best, k)
 
@@ -70,8 +68,8 @@ def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[begin[rows][:, None] + np.arange(size)]
 
 
-def _block_best(targets: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The best k of each target within each task; scores as the left-to-right sums give them."""
+def _block_best(targets: DataFrame, vectors: DataFrame, k: int) -> tuple[Broadcast, DataFrame]:
+    """The targets as sent, and the best k of each target within each task; scores as the left-to-right sums give them."""
     spark = targets.sparkSession
     shared = spark.sparkContext.broadcast([(r.target, np.array(r.vec or [], np.float64)) for r in targets.toLocalIterator()])
     kind = targets.schema["target"].dataType.simpleString()
@@ -96,7 +94,7 @@ def _block_best(targets: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             t, i, s = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(i), pa.array(s, pa.float64())], names=["target", "id", "score"])
 
-    return vectors.mapInArrow(run, f"target {kind}, id {kind}, score double")
+    return shared, vectors.mapInArrow(run, f"target {kind}, id {kind}, score double")
 
 
 _PLACES = 1e4

@@ -174,8 +174,9 @@ def gather(spark: SparkSession, options: Options, embed: embeddings.Embedder | N
     if not git.has_ref(options.base):
         raise ValueError(f"no such ref: {options.base}")
     changed = git.changed(spark, options.base)
-    details = git.details(spark, options.base, [r.path for r in changed.select("path").collect()])
-    files = tree.read_tree(spark, options.root).persist()
+    paths = [r.path for r in changed.select("path").collect()]
+    details = git.details(spark, options.base, paths)
+    files = tree.read_tree(spark, options.root, also=paths).persist()
     note = (options.memory_path, memory.ensure(options.memory_path)) if options.use_memory else None
     inputs = Inputs(files, changed, details, git.name(), note)
     if options.embeddings and embed is not None:

@@ -318,7 +318,7 @@ def prs12_memory_lines(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(replace(text, ' the ', ' export const '), 'export\\s+(?:default\\s+)?(?:async\\s+)?(?:function\\*?|class|const|let|var|interface|type|enum)\\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1))), ',') AS names FROM documents"""
+    """SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(replace(text, ' the ', ' export const '), '(?:^|\\s)export\\s+(?:default\\s+)?(?:async\\s+)?(?:function\\*?|class|const|let|var|interface|type|enum)\\s+(\\w+)', 1))), ',') AS names FROM documents"""
 )
 def prs10_exported_names(spark, sf_dir):
     source = F.replace(F.col("text"), F.lit(" the "), F.lit(" export const "))

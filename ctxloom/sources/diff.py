@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-_BUFFER = 64 << 20
 #: Fixed value: the last two segments of a remote address.
 _REMOTE = r"[/:]([^/:]+/[^/:]+?)(?:\.git)?$"
 
@@ -50,21 +49,21 @@ def repo_name(url: Column, fallback: str) -> Column:
 
 
 class Git:
-    """Commands of one work tree, run on the driver; failures print nothing."""
+    """Commands of one work tree, run on the driver."""
 
     def __init__(self, root: str):
         self.root = os.path.abspath(root)
 
     def run(self, *args: str) -> str:
-        out = subprocess.run(["git", "-C", self.root, *args], capture_output=True, check=True).stdout
-        if len(out) > _BUFFER:
-            raise ValueError("output over the buffer limit")
+        """What a command prints, whole; it raises where the command fails."""
+        out = subprocess.run(["git", "-c", "core.quotepath=off", "-C", self.root, *args], capture_output=True, check=True).stdout
         return out.decode("utf-8", "replace")
 
     def safe(self, *args: str) -> str:
+        """The same, and nothing where the command fails."""
         try:
             return self.run(*args)
-        except (subprocess.CalledProcessError, OSError, ValueError):
+        except (subprocess.CalledProcessError, OSError):
             return ""
 
     def has_ref(self, ref: str) -> bool:
@@ -79,17 +78,22 @@ class Git:
         return m[1] if m else os.path.basename(self.root)
 
     def changed(self, spark: SparkSession, base: str) -> DataFrame:
-        lines = self.safe("diff", "--name-status", "--find-renames", base).splitlines()
+        lines = self.run("diff", "--name-status", "--find-renames", base).splitlines()
         rows = spark.createDataFrame(list(enumerate(lines)), "ord int, value string")
         return spark.createDataFrame(parse_name_status(rows).collect(), schemas.CHANGED)
 
     def details(self, spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
-        """(path, patch, additions, deletions) of changed paths; one pair of commands a path, as the list of changes is."""
-        rows = []
-        for p in paths:
-            stat = (self.safe("diff", "--numstat", base, "--", p).splitlines() or [""])[0]
-            rows.append((p, self.safe("diff", "--unified=3", base, "--", p), stat))
+        """(path, patch, additions, deletions) of changed paths, from one patch and one list of counts.
+
+        Both are made without renames, so that a path's part is what it is by itself,
+        and name files in the same order.
+        """
+        counts = [x for x in self.run("diff", "--no-renames", "--numstat", "-z", base).split("\0") if x]
+        patch = self.run("diff", "--no-renames", "--unified=3", base)
+        parts = re.split(r"^(?=diff --git )", patch, flags=re.MULTILINE)[1:] if patch else []
+        by_path = {c.split("\t", 2)[2]: (part, c) for part, c in zip(parts, counts, strict=True)}
+        rows = [(p, *by_path.get(p, ("", ""))) for p in paths]
         raw = spark.createDataFrame(rows, "file string, patch string, value string")
-        parts = F.split("value", "\t")
-        number = lambda i: F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("long"), F.lit(0)).cast("long")
+        cells = F.split("value", "\t")
+        number = lambda i: F.coalesce(F.try_element_at(cells, F.lit(i)).try_cast("long"), F.lit(0)).cast("long")
         return raw.select(F.col("file").alias("path"), "patch", number(1).alias("additions"), number(2).alias("deletions"))

@@ -135,7 +135,9 @@ def test_cosine_and_ranks(spark):
     rng = random.Random(2)
     vectors = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(6)] if i % 9 else None) for i in range(120)] + [(500, [1.0] * 6), (501, [1.0] * 6), (502, [1.0] * 5)], "id long, vec array<double>")
     targets = vectors.filter("id % 10 = 0 and vec is not null").select(F.col("id").alias("target"), "vec")
-    want = similarity.ranked(similarity.cosine_pairs(targets, vectors.filter("vec is not null")), 5).collect()
+    pairs = vectors.filter("vec is not null").join(F.broadcast(targets.withColumnRenamed("vec", "t")), F.col("target") != F.col("id"))
+    scored = pairs.select("target", "id", similarity.cosine(F.col("t"), F.col("vec")).alias("score")).filter("score > 0")
+    want = similarity.ranked(scored, 5).collect()
     for block in (1 << 25, 200):
         assert sorted(similarity.top_k(targets, vectors, 5, block).collect()) == sorted(want)
 
@@ -207,8 +209,10 @@ def test_config_inheritance():
     }
     got = config.load_config("a/tsconfig.json", texts)
     assert got["base_url"] == "x" and got["paths"] == {"p/*": ["q/*"]} and got["base_dir"] == ""
-    assert config.load_config("a/tsconfig.json", texts, None, False)["base_dir"] == "a"
+    assert config.load_config("a/tsconfig.json", texts, False)["base_dir"] == "a"
     assert config.relaxed_json('{"a": "//no", /* c */ "b": [1, ], }') == {"a": "//no", "b": [1]}
+    assert config.yaml_packages("packages: [a, 'b/*' , \"c\"] # d\nother: [no]\n") == ["a", "b/*", "c"]
+    assert config.yaml_packages("x:\n  packages:\n    - no\n") == [] and config.yaml_packages("packages:\n# c\n- a\n\n- 'it''s'\nb: 1\n- no\n") == ["a", "it's"]
     assert config.yaml_packages("x: 1\npackages:\n  - 'a/*'\n  - b # c\nother:\n  - no\n") == ["a/*", "b"]
 
 
@@ -249,10 +253,17 @@ def repo(tmp_path_factory):
         "node_modules/x/index.js": "export const no = 1;\n",
         "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}}',
         "AGENTS.md": "Be kind.\n",
+        ".cursorrules": "Be brief.\n",
+        "src/_app.tsx": "import { c } from './c';\nexport const app = c;\n",
+        "src/__tests__/t.ts": "import { app } from '../_app';\n",
+        "src/a+b%20c.ts": "export const odd = 1;\n",
     }
     for name, text in files.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
+    (root / "logo.png").write_bytes(b"\x89PNG\xff\xfe\x00")
+    (root / "font.woff").write_bytes(bytes(range(256)))
+    (root / "src/latin.ts").write_bytes(b"export const caf\xe9 = 1;\n")
     git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True)
     git("init", "-q")
     git("add", "-f", ".")
@@ -280,7 +291,8 @@ def test_bundle_end_to_end(spark, repo, tmp_path):
     assert by["src/gone.ts"]["fullContent"] == "" and by["src/gone.ts"]["semanticNeighbors"] == []
     assert by["src/b.ts"]["dependencyContents"]["src/c.ts"]["content"].startswith("1: export class C")
     assert "node_modules/x/index.js" not in json.dumps(document) and "src/naïve name.ts" in by["src/b.ts"]["siblings"]
-    assert document["rules"] == {"AGENTS.md": "Be kind.\n"} and document["meta"]["graphEdgeCount"] == 3
+    assert document["rules"] == {"AGENTS.md": "Be kind.\n", ".cursorrules": "Be brief.\n"} and document["meta"]["graphEdgeCount"] == 5
+    assert by["src/new.ts"]["patch"].startswith("diff --git ") and by["src/new.ts"]["additions"] == 2 and by["src/gone.ts"]["deletions"] == 1
     assert document["meta"]["embeddings"]["cacheMisses"] == document["meta"]["indexedFileCount"]
 
     path = tmp_path / "bundle.json"
@@ -308,6 +320,17 @@ def test_bundle_end_to_end(spark, repo, tmp_path):
     assert cli.main(["audit", str(path), str(repo)]) == 0
 
 
+def test_trees_are_read_whole(spark, repo):
+    held = {r.path: r.content for r in tree.read_tree(spark, str(repo), also=["font.woff"]).collect()}
+    assert {"src/_app.tsx", "src/__tests__/t.ts", ".cursorrules", "logo.png", "src/a+b%20c.ts", "src/naïve name.ts"} <= set(held)
+    assert not any("node_modules" in p or ".git/" in p for p in held)
+    assert held["logo.png"] is None and held["font.woff"] is not None and held["src/latin.ts"] == "export const caf\ufffd = 1;\n"
+    assert set(r.path for r in tree.read_tree(spark, str(repo), "src").collect()) == {p for p in held if p.startswith("src/")}
+    assert tree.read_tree(spark, str(repo / "no such")).collect() == []
+    far = {r.path: r.content for r in tree.read_tree(spark, f"file://{repo}").collect()}
+    assert far == {**held, "font.woff": None}
+
+
 def test_options():
     o = cli.parse_options(["--max-hops", "3", "--no-embeddings", "stray", "--base", "main"])
     assert (o.max_hops, o.embeddings, o.base, o.max_callers) == (3, False, "main", 15)
