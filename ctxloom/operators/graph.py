@@ -24,16 +24,23 @@ from ..storage import written
 _NODE = "struct<path:string,via:string,via_symbols:array<string>,type:string>"
 
 
+_STATE = f"struct<pos:int,taken:int,paths:array<string>,nodes:array<{_NODE}>>"
+
+
 def capped_fold(candidates: Column, per_parent: int) -> Column:
-    """The nodes that ordered candidates yield: none twice, at most ``per_parent`` new ones a parent."""
-    node = lambda e: F.struct(e["path"].alias("path"), e["via"].alias("via"), e["via_symbols"].alias("via_symbols"), e["type"].alias("type"))
-    return F.aggregate(
-        candidates,
-        F.array().cast(f"array<{_NODE}>"),
-        lambda acc, e: F.when(
-            F.exists(acc, lambda t: t["path"] == e["path"]) | (F.size(F.filter(acc, lambda t: t["via"] == e["via"])) >= per_parent), acc
-        ).otherwise(F.concat(acc, F.array(node(e)))),
-    )
+    """The nodes that ordered candidates yield: none twice, at most ``per_parent`` new ones a parent.
+
+    A parent's candidates lie together, by its place ``pos``, so one counter is enough.
+    """
+    start = F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("taken"), F.array().cast("array<string>").alias("paths"), F.array().cast(f"array<{_NODE}>").alias("nodes"))
+
+    def step(acc: Column, e: Column) -> Column:
+        taken = F.when(acc["pos"] == e["pos"], acc["taken"]).otherwise(0)
+        node = F.struct(e["path"].alias("path"), e["via"].alias("via"), e["via_symbols"].alias("via_symbols"), e["type"].alias("type"))
+        after = F.struct(e["pos"].alias("pos"), (taken + 1).alias("taken"), F.concat(acc["paths"], F.array(e["path"])).alias("paths"), F.concat(acc["nodes"], F.array(node)).alias("nodes"))
+        return F.when((taken >= per_parent) | F.array_contains(acc["paths"], e["path"]), acc).otherwise(after)
+
+    return F.aggregate(candidates, start.cast(_STATE), lambda acc, e: step(acc, e).cast(_STATE), lambda acc: acc["nodes"])
 
 
 def traverse(
@@ -49,6 +56,7 @@ def traverse(
     frontier = starts.select("start", F.lit(0).alias("pos"), F.col("start").alias("path")).distinct()
     visited = frontier.select("start", "path")
     tiers: list[DataFrame] = []
+    tasks = int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     seen, parents = 1, 1  # most nodes visited before a hop, and most parents of it
     for hop in range(1, max_hops + 1):
         few = ranked.filter(F.col("nth") <= seen + parents * per_parent)
@@ -56,7 +64,8 @@ def traverse(
             "start", "pos", "arc_ord", F.col("next").alias("path"), F.col("node").alias("via"), F.col("symbols").alias("via_symbols"), "type"
         )
         fresh = reached.join(visited, ["start", "path"], "left_anti")
-        folded = fresh.groupBy("start").agg(
+        # a number that is stated, as the fold's cost is not in the bytes by which partitions are joined
+        folded = fresh.repartition(tasks, "start").groupBy("start").agg(
             capped_fold(F.array_sort(F.collect_list(F.struct("pos", "arc_ord", "path", "via", "via_symbols", "type"))), per_parent).alias("taken")
         )
         seen, parents = seen + parents * per_parent, per_tier
