@@ -248,19 +248,38 @@ def test_repeats_against_brute_force(spark, monkeypatch, limits):
     assert got == removed_by_brute_force([(d, t.encode()) for d, t in docs])
 
 
-def test_repeats_survive_hash_collisions(monkeypatch):
+@pytest.mark.parametrize("length", [8, 12, 50])
+def test_suffixes_are_in_the_order_of_their_bytes(length):
     rng = np.random.default_rng(8)
-    joined = rng.integers(0, 2, 4000).astype(np.uint8)
-    at = rng.integers(0, 3900, 600)
-    doc, h, offset = rng.integers(0, 50, 600), np.zeros(600, np.uint64), np.zeros(600, np.int64)
-    bodies = [joined[i : i + 12].tobytes() for i in at]
+    joined = np.concatenate([np.tile(rng.integers(0, 256, 90), 20), rng.integers(0, 2, 2000), rng.integers(254, 256, 300)]).astype(np.uint8)
+    at, doc = rng.integers(0, len(joined) - length - 8, 3000), rng.integers(0, 50, 3000)
+    body = lambda i: joined[at[i] : at[i] + length].tobytes()
+    order, same = substrings.suffix_order(joined, at, doc, length)
+    shown = [(body(i), doc[i]) for i in order]
+    assert sorted(order.tolist()) == list(range(3000)) and shown == sorted(shown)
+    assert same.tolist() == [k > 0 and shown[k][0] == shown[k - 1][0] for k in range(3000)]
     least = {}
-    for d, b in zip(doc, bodies, strict=True):
-        least[b] = min(least.get(b, 99), d)
-    want = [d > least[b] for d, b in zip(doc, bodies, strict=True)]
-    assert substrings._covered_windows(doc, h, offset, at, joined, 12).tolist() == want
-    monkeypatch.setattr(substrings, "_mix", lambda x: x & np.uint64(1))
-    assert substrings._covered_windows(doc, h, offset, at, joined, 12).tolist() == want
+    for i in range(3000):
+        least[body(i)] = min(least.get(body(i), 99), doc[i])
+    assert substrings._covered_windows(doc, at, joined, length).tolist() == [bool(doc[i] > least[body(i)]) for i in range(3000)]
+
+
+def test_slices_parse_alike(monkeypatch):
+    rng = random.Random(21)
+    text = (words(rng, 900, "abcde") + "a" * 700 + words(rng, 300, "ab")).encode()
+    whole = substrings.Parser(50, 18).phrases(text)
+    for size in (1, 37, 1000):
+        monkeypatch.setattr(substrings, "SLICE_BYTES", size)
+        parts = substrings.Parser(50, 18).phrases(text)
+        assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_answers_are_found_where_phrase_hashes_collide():
+    lookup = substrings._Lookup([], (0,))
+    lookup.at, lookup.h, lookup.u = {5: (0, 4)}, np.array([3, 9, 11, 2], np.uint64), np.array([7, 7, 7, 8], np.uint64)
+    lookup.kind = np.array([0, 1, 2, 0], np.uint8)
+    got = lookup.match(5, np.array([11, 9, 4, 2, 2], np.uint64), np.array([7, 7, 7, 8, 9], np.uint64))
+    assert got.tolist() == [2, 1, -1, 0, -1] and lookup.match(6, np.array([3], np.uint64), np.array([7], np.uint64)).tolist() == [-1]
 
 
 def test_repeats_return_spans_and_bytes(spark):
