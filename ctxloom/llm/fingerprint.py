@@ -10,9 +10,12 @@ the canonical forms are grouped, so a collision cannot merge different texts.
 Scale: hashing is narrow. Grouping shuffles digests; canonical texts travel only
 for buckets that repeat, once for each map task and different text, as grouping on
 them is aggregated before the exchange. The neighbour of each document by id comes
-from one shuffle of the texts into ranges of ids, with the first row of each range
-copied to the end of the range before it; ranges number up to ``MAX_RANGES`` of
-``RANGE_BYTES`` of text each, and only their first ids reach the driver.
+from one shuffle of the texts into ranges of ids of about ``RANGE_BYTES``, with the first
+row of each range copied to the end of the range before it. Ranges are found in two
+levels, so that neither a sketch nor a literal grows with their number: coarse bounds
+over all ids, of which the driver sees ``COARSE`` at most, and fine bounds within each,
+made by grouping and broadcast up to a measured size. An id that fills several ranges,
+and rows without an id, are dealt over as many by a hash of their text.
 
 Defined cases: null text is empty, and empty texts are equal; repeated rows are
 members of one group; null ids come last in the order and take part in groups, a
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, schema_of, text_or_empty
 
-RANGE_BYTES, MAX_RANGES = 8 << 20, 1 << 16
+RANGE_BYTES, COARSE = 8 << 20, 256
 #: Up to this measured size the repeated buckets go to every executor.
 BROADCAST_BYTES, ROW_BYTES, SALTS = 32 << 20, 100, 32
 _WHITE = r"[\s\p{Z}\x85]"
@@ -102,16 +105,40 @@ def exact_groups(docs: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     return out.unionByName(marked.join(collided, "fp", "left_semi").join(ids, ["doc_id", "fp"]), allowMissingColumns=True)
 
 
-def _count_over(bounds: list[int], value: Column, step: int) -> Column:
-    """How many of the descending ``bounds`` are greater than ``value``; null: all."""
-    above = lambda part: F.size(F.filter(part, lambda b: b > value))
-    every = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<long>")
-    if len(bounds) <= step:
-        n = above(every)
+def _above(bounds: Column, value: Column) -> Column:
+    return F.size(F.filter(bounds, lambda b: b > value))
+
+
+def _share(tie: Column, parts: Column) -> Column:
+    """The place of a hash among ``parts`` equal shares of all hashes, the largest first."""
+    place = (F.lit(float(1 << 63)) - tie.cast("double")) / F.lit(float(1 << 64)) * parts
+    return F.least(F.floor(place).cast("int"), parts - 1)
+
+
+def _with_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__tie``, and ``__at`` (coarse, fine): the place of its range in the order of falling ids, null last, then falling ties."""
+    sizes = docs.agg(F.sum(F.octet_length("text") + 16).alias("b"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    ranges = max(1, math.ceil((sizes.b or 0) / RANGE_BYTES))
+    coarse = min(COARSE, math.isqrt(ranges - 1) + 1)
+    fine = math.ceil(ranges / coarse)
+    cuts = lambda n: [i / n for i in range(1, n)]
+    found = docs.agg(F.percentile_approx("doc_id", cuts(coarse), 10_000).alias("q")).first().q if coarse > 1 else None
+    bounds = sorted(set(found or []), reverse=True)
+    rows = docs.withColumn("__tie", F.xxhash64("text"))
+    level = _above(F.array(*map(F.lit, bounds)), F.col("doc_id")) if bounds else F.lit(0)
+    rows = rows.withColumn("__coarse", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(level))
+    none = max(1, math.ceil(ranges * sizes.none / sizes.n)) if sizes.n else 1
+    if fine == 1:
+        inner = F.lit(0)
     else:
-        coarse = above(F.array(*map(F.lit, bounds[step - 1 :: step])))
-        n = coarse * step + above(F.slice(every, coarse * step + 1, F.lit(step)))
-    return F.when(value.isNull(), len(bounds)).otherwise(n)
+        within = F.reverse(F.array_sort(F.percentile_approx("doc_id", cuts(fine), 100 * fine)))
+        parts = materialize(rows.filter("doc_id is not null").groupBy(F.col("__coarse").alias("__level")).agg(within.alias("__bounds")))
+        size = parts.agg(F.sum(8 * F.size("__bounds") + 32)).first()[0] or 0
+        rows = rows.join(F.broadcast(parts) if size <= BROADCAST_BYTES else parts, F.col("__coarse") == F.col("__level"), "left")
+        equal = F.size(F.filter("__bounds", lambda b: b == F.col("doc_id")))  # so many ranges less one that this id fills
+        inner = _above(F.col("__bounds"), F.col("doc_id")) + F.when(equal > 0, _share(F.col("__tie"), equal + 1)).otherwise(0)
+    inner = F.when(F.col("doc_id").isNull(), _share(F.col("__tie"), F.lit(none))).otherwise(inner)
+    return rows.select(*docs.columns, "__tie", F.struct(F.col("__coarse").cast("int").alias("coarse"), inner.cast("int").alias("fine")).alias("__at"))
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -119,31 +146,31 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     After the last row comes the first. ``docs`` has doc_id, text and ``columns``.
     """
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    ranges = max(1, min(MAX_RANGES, math.ceil(size / RANGE_BYTES)))
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = []
-    if cuts:
-        found = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 10 * ranges)).alias("q")).first().q
-        bounds = sorted(set(found or []), reverse=True)
-    part = _count_over(bounds, F.col("doc_id"), max(16, math.isqrt(len(bounds)) + 1))
-    rows = docs.withColumn("__part", part).withColumn("__tie", F.xxhash64("text"))
-    # the first row of each range, in order; one row a range reaches the driver
-    first = rows.groupBy("__part").agg(F.max(F.struct("doc_id", "__tie")).alias("top")).orderBy("__part").collect()
-    ghosts = [(r["__part"], first[i - 1]["__part"], r["top"]["doc_id"], r["top"]["__tie"]) for i, r in enumerate(first)]
-    ghosts = spark.createDataFrame(ghosts, schema_of("__own int, __goes int, __id long, __hash long"))
-    on = (F.col("__part") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__hash"))
+    rows = _with_place(docs)
+    # the first row of each range, and the range before it that it is copied to
+    top = rows.groupBy("__at").agg(F.max(F.struct("doc_id", "__tie")).alias("top"))
+    top = materialize(top.select(F.col("__at").alias("__own"), F.col("top.doc_id").alias("__id"), F.col("top.__tie").alias("__hash")))
+    ends = sorted((r.c, r.f) for r in top.groupBy(F.col("__own.coarse").alias("c")).agg(F.max("__own.fine").alias("f")).collect())
+    if not ends:
+        return docs.withColumn("next", F.struct(*columns))
+    ends = [(c, *ends[i - 1]) for i, (c, _) in enumerate(ends)]  # the last range of the level before; before the first comes the last
+    ends = F.broadcast(docs.sparkSession.createDataFrame(ends, schema_of("__level int, coarse int, fine int")))
+    before = F.lag("__own").over(W.partitionBy("__own.coarse").orderBy("__own.fine"))
+    ghosts = top.join(ends, F.col("__own.coarse") == F.col("__level")).withColumn("__goes", F.coalesce(before, F.struct("coarse", "fine")))
+    ghosts = materialize(ghosts.select("__own", "__id", "__hash", "__goes"))
+    if ghosts.count() * ROW_BYTES <= BROADCAST_BYTES:
+        ghosts = F.broadcast(ghosts)
+    on = (F.col("__at") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__hash"))
     places = F.array_compact(
         F.array(
-            F.struct(F.col("__part").alias("part"), F.lit(False).alias("ghost")),
-            F.when(F.col("__goes").isNotNull(), F.struct(F.col("__goes").alias("part"), F.lit(True).alias("ghost"))),
+            F.struct(F.col("__at").alias("at"), F.lit(False).alias("ghost")),
+            F.when(F.col("__goes").isNotNull(), F.struct(F.col("__goes").alias("at"), F.lit(True).alias("ghost"))),
         )
     )
-    dealt = rows.join(F.broadcast(ghosts), on, "left").select(*docs.columns, "__tie", F.explode(places).alias("__at"))
-    order = W.partitionBy("__at.part").orderBy("__at.ghost", F.desc_nulls_last("doc_id"), F.desc("__tie"))
+    dealt = rows.join(ghosts, on, "left").select(*docs.columns, "__tie", F.explode(places).alias("__to"))
+    order = W.partitionBy("__to.at").orderBy("__to.ghost", F.desc_nulls_last("doc_id"), F.desc("__tie"))
     after = F.lead(F.struct(*columns)).over(order)
-    return dealt.withColumn("next", after).filter(~F.col("__at.ghost")).select(*docs.columns, "next")
+    return dealt.withColumn("next", after).filter(~F.col("__to.ghost")).select(*docs.columns, "next")
 
 
 def edited(text: Column, n: Column, following: Column) -> Column:
