@@ -134,7 +134,8 @@ def train(docs: DataFrame, per_language: int = 500, label: str = "lang") -> Mode
 
 
 def text_evidence(model: Model, text: str | Column = "text") -> Column:
-    """Array of the shares of letters and of plain bytes among the visible ones, then the log-likelihoods of no language and of each language."""
+    """Array of the shares of letters and of plain bytes among the visible ones, the log-likelihoods of no language
+    and of each language, and the posteriors of the languages by text alone."""
     shared = model.weights, model.languages, model.single
 
     @F.arrow_udf("array<double>")
@@ -149,28 +150,28 @@ def text_evidence(model: Model, text: str | Column = "text") -> Column:
                 visible = len(x) - int(_SPACE[x].sum())
                 share = int(_LETTER[x].sum()) / visible if visible else 0.0
                 plain = (int(_PLAIN[x].sum()) + PLAIN_BYTES) / (visible + PLAIN_BYTES)
-                out.append([share, plain, *own.score(raw)])
+                scores = own.score(raw)
+                out.append([share, plain, *scores, *(_softmax(scores[1:]) if len(scores) > 1 else ())])
             yield pa.array(out, pa.list_(pa.float64()))
         release_memory()
 
     return evidence(text)
 
 
-def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    raised = F.transform(scores, lambda s: F.exp(s - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    raised = np.exp(scores - scores.max(axis=-1, keepdims=True))
+    return raised / raised.sum(axis=-1, keepdims=True)
 
 
-def _likelihood(languages: list[str], value: Column, trust: float) -> list[Column]:
-    """log P(value | language) where the value names one of the languages, otherwise 0."""
-    known = value.isin(languages) if languages else F.lit(False)
-    wrong = (1 - trust) / max(1, len(languages) - 1)
-    return [
-        F.when(known & (value == lang), math.log(trust)).when(known, math.log(wrong)).otherwise(0.0)
-        for lang in languages
-    ]
+def _likelihood(languages: list[str], values: list[str], trust: float) -> np.ndarray:
+    """log P(value | language) where a value names one of the languages, otherwise 0."""
+    out = np.zeros((len(values), len(languages)))
+    place = {lang: i for i, lang in enumerate(languages)}
+    for row, value in enumerate(values):
+        if value in place:
+            out[row] = math.log((1 - trust) / max(1, len(languages) - 1))
+            out[row, place[value]] = math.log(trust)
+    return out
 
 
 def host_sums(scored: DataFrame, languages: int) -> tuple[DataFrame, list[float]]:
@@ -220,36 +221,48 @@ def identify(
         none = [F.lit(None).cast(t).alias(own + n) for n, t in (("lang", "string"), ("posterior", "double"))]
         return scored.select(*kept, *none, F.lit(False).alias(f"{own}accepted"), of("evidence")[0].alias(f"{own}letters"))
     scored = materialize(scored)
-    mass = _softmax(F.slice(of("evidence"), 4, width))
+    mass = F.slice(of("evidence"), 4 + width, width)
     sums, (rows, *totals) = host_sums(scored.select(*(of(n).alias(n) for n in ("host", "suffix", "evidence")), mass.alias("mass")), width)
     size = sums.agg(F.sum(F.octet_length("host") + F.octet_length("suffix") + 16 * width + 64)).first()[0] or 0
     sums = sums.select(*(F.col(c).alias(f"{own}sum_{c}") for c in sums.columns))
     if size <= BROADCAST_BYTES:
         sums = F.broadcast(sums)
     joined = scored.join(sums, (of("host") == of("sum_host")) & (of("suffix") == of("sum_suffix")), "left")
-    joined = joined.withColumn(f"{own}mass", mass).withColumn(f"{own}one", F.when(of("evidence")[0] > 0, 1.0).otherwise(0.0))
-
-    def prior(i: int) -> Column:
-        """The log-prior of a language from the rows other than this one."""
-        mine = of("mass")[i] * of("one")
-        less = lambda total: F.greatest(F.coalesce(total, F.lit(0.0)) - mine, F.lit(0.0))
-        count = lambda total: F.greatest(F.coalesce(total, F.lit(0)) - of("one"), F.lit(0.0))
-        everywhere = (less(F.lit(totals[i])) + 1) / (count(F.lit(rows)) + width)
-        by_suffix = (less(of("sum_sm")[i]) + prior_rows * everywhere) / (count(of("sum_sn")) + prior_rows)
-        return F.log((less(of("sum_m")[i]) + prior_rows * by_suffix) / (count(of("sum_n")) + prior_rows))
-
-    named = F.create_map(*(F.lit(x) for kv in SUFFIX_LANGUAGE.items() for x in kv))
-    by_declared = _likelihood(languages, of("declared"), declared_trust)
-    by_suffix = _likelihood(languages, F.coalesce(F.element_at(named, of("suffix")), blank), suffix_trust)
-    fused = [of("evidence")[i + 3] + by_declared[i] + by_suffix[i] + prior(i) + math.log(1 - other) for i in range(width)]
-    joined = joined.withColumn(f"{own}post", _softmax(F.array(of("evidence")[2] + math.log(other), *fused)))
-    share, best = of("evidence")[0], F.array_max(F.slice(of("post"), 2, width))
-    lang = F.element_at(F.array(*map(F.lit, languages)), F.array_position(F.slice(of("post"), 2, width), best).cast("int"))
-    fine = (share >= min_letters) & (share > 0) & (of("evidence")[1] >= min_plain) & (best >= min_posterior) & (lang.isin(accepted) if accepted is not None else F.lit(True))
+
+    @F.arrow_udf("struct<lang:string,posterior:double>")
+    def fuse(evidence: pa.Array, declared: pa.Array, suffix: pa.Array, n: pa.Array, m: pa.Array, sn: pa.Array, sm: pa.Array) -> pa.Array:
+        """The likeliest language of each row, and its posterior beside those of the others and of no language."""
+        table = lambda a: a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
+        found = table(evidence)
+        counted = (found[:, :1] > 0).astype(float)
+        mine = found[:, 3 + width :] * counted  # the row's own part of every sum
+        less = lambda total: np.maximum(total - mine, 0.0)
+        count = lambda total: np.maximum(total - counted, 0.0)
+        column = lambda a: a.to_numpy(zero_copy_only=False).astype(float)[:, None]
+        everywhere = (less(np.array(totals)) + 1) / (count(rows) + width)
+        by_suffix = (less(table(sm)) + prior_rows * everywhere) / (count(column(sn)) + prior_rows)
+        prior = np.log((less(table(m)) + prior_rows * by_suffix) / (count(column(n)) + prior_rows))
+        fused = found[:, 3 : 3 + width] + prior + math.log(1 - other)
+        fused += _likelihood(languages, declared.to_pylist(), declared_trust)
+        fused += _likelihood(languages, [SUFFIX_LANGUAGE.get(x) for x in suffix.to_pylist()], suffix_trust)
+        posterior = _softmax(np.concatenate([found[:, 2:3] + math.log(other), fused], axis=1))[:, 1:]
+        best = posterior.argmax(axis=1)
+        names = pa.array(languages).take(pa.array(best))
+        return pa.StructArray.from_arrays([names, pa.array(posterior[np.arange(len(best)), best])], names=["lang", "posterior"])
+
+    nothing = F.array_repeat(F.lit(0.0), width)
+    zero = lambda name: F.coalesce(of(name).cast("double"), F.lit(0.0))
+    many = lambda name: F.coalesce(of(name), nothing)
+    best = fuse(of("evidence"), of("declared"), of("suffix"), zero("sum_n"), many("sum_m"), zero("sum_sn"), many("sum_sm"))
+    joined = joined.withColumn(f"{own}best", best)
+    share, lang, posterior = of("evidence")[0], of("best")["lang"], of("best")["posterior"]
+    fine = (share >= min_letters) & (share > 0) & (of("evidence")[1] >= min_plain) & (posterior >= min_posterior)
+    if accepted is not None:
+        fine = fine & lang.isin(accepted)
     return joined.select(
         *kept,
         lang.alias(f"{own}lang"),
-        best.alias(f"{own}posterior"),
+        posterior.alias(f"{own}posterior"),
         F.coalesce(fine, F.lit(False)).alias(f"{own}accepted"),
         share.alias(f"{own}letters"),
     )
