@@ -273,7 +273,7 @@ def overlap_links(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataF
     rows = materialize(shared.join(named.select("fp", "bits"), "fp").select("h", "fp", "n", "bits"))
     links, before, turn = simhash_links(docs, named), None, 0
     while True:
-        roots = materialize(connected(links))
+        roots = materialize(connected(links, turns=1))  # what is not joined yet is only compared once more
         now = rows.join(roots, rows["fp"] == roots["node"], "left").select("h", "fp", "n", "bits", F.coalesce("root", "fp").alias("root"))
         of = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h")
         of = of.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("c * c > same")

@@ -277,11 +277,18 @@ def near_links(fps: DataFrame, tau: int = 2, bucket_limit: int = 2048) -> DataFr
         rows = materialize(rows.select("k", "v", "fp"))
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each linked node reaches."""
+def _settled(edges: DataFrame) -> bool:
+    """Whether all edges (u, v) lead straight to a root: no node has two, and none that has one is led to."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out = 1 and into = 1)").isEmpty()
+
+
+def connected(links: DataFrame, turns: int | None = None) -> DataFrame:
+    """(node, root): the smallest node that each linked node reaches; after ``turns``, if given, one that it reaches."""
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    while turns != 0 and not (turns is None and _settled(edges)):
+        turns = None if turns is None else turns - 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join's sides are plain exchanges and Spark can split the centre of a large star
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -291,10 +298,7 @@ def connected(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         edges = materialize(small.filter("u <> v").distinct())
-        state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, bucket_limit: int = 2048) -> DataFrame:
