@@ -6,11 +6,13 @@ urls and synthetic names stand for paths, table relations for dependency edges.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import paths as P
 from ..functions import text as X
 from ..operators import audit as A
@@ -20,9 +22,11 @@ from ..operators import graph as G
 from ..operators import lanes as L
 from ..operators import resolve as R
 from ..operators import similarity as S
+from ..sources import config
 from ..sources import diff as D
 from ..sources import embeddings as E
 from ..sources import tree
+from ..storage import shared_folder
 from . import bundle, render
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -554,8 +558,6 @@ def gr2_bfs_reverse(spark, sf_dir):
 @query(f"WITH {_SQL_REVERSE} SELECT start, string_agg(n::VARCHAR, ',' ORDER BY hop) AS sizes FROM (SELECT start, hop, count(*) AS n FROM h GROUP BY start, hop) GROUP BY start")
 def ag16_tier_sizes(spark, sf_dir):
     """AG16: sizes of nested tiers."""
-    from .. import schemas
-
     tiers = G.tiers_of(_reverse_hops(spark, sf_dir), schemas.TIERS_TYPE)
     return tiers.select("start", F.array_join(F.transform("tiers", lambda x: F.size(x).cast("string")), ",").alias("sizes"))
 
@@ -760,7 +762,7 @@ def ag10_symbol_recall(spark, sf_dir):
  SELECT count(*) FILTER (p = 0)::BIGINT AS walked, count(*) FILTER (p = 1)::BIGINT AS packages, count(*) FILTER (p IS NULL AND forced)::BIGINT AS changes FROM m"""
 )
 def ag15_scope_counters(spark, sf_dir):
-    """SRC1, FL12, FL13, AG15: the index of a scope, a package and changed files."""
+    """FL12, FL13, AG15: the index of a scope, a package and changed files."""
     files = _files(spark, sf_dir)
     changed = files.join(t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("path", "status")
     return tree.scope_counters(tree.index_of(files.select("path"), changed, "apps", ["packages/react"]))
@@ -843,3 +845,104 @@ def sc12_neighbor_lines(spark, sf_dir):
 def st4_path_references(spark, sf_dir):
     """ST4, GR5: every path that file entries name."""
     return A.path_references(_entries(spark, sf_dir).select("f.*")).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- sources, caches, picks and renderings on tables made of the driver's ----------------------
+
+
+@query(
+    f"""WITH {_SQL_LINKS}, i AS (SELECT page_id, href, min(ord) AS ord, md5(href)[1:1] AS d FROM links GROUP BY page_id, href)
+ SELECT 'site/pages/' || page_id || '.ts' AS src, ord::INT AS ord, CASE page_id % 3 WHEN 0 THEN '..' WHEN 1 THEN '@' ELSE 'w' END || href AS specifier,
+  CASE WHEN d < '4' THEN 'site' || href || '.ts' WHEN d < '8' THEN 'site' || href || '/index.tsx' WHEN d < 'a' THEN 'site' || href || '.json' END AS resolved_path FROM i"""
+)
+def jn1_resolution_cascade(spark, sf_dir):
+    """JN1: the same links as relative, aliased and workspace imports, by page, in one resolution."""
+    kind = F.substring_index(F.regexp_extract("path", r"(\d+)\.ts$", 1), ".", 1).cast("long") % 3
+    lead = F.when(kind == 0, "..").when(kind == 1, "@").otherwise("w")
+    imports = _link_imports(spark, sf_dir).withColumn("specifier", F.concat(lead, F.substring("specifier", 3, 1 << 20)))
+    configs = spark.createDataFrame([("", ("", [("@/*", ["site/*"])]))], "dir string, config struct<base_dir:string,patterns:array<struct<pattern:string,targets:array<string>>>>")
+    packages = spark.createDataFrame([(0, "w", "site")], "ord int, name string, dir string")
+    return R.resolve_imports(imports, _link_entries(_links(spark, sf_dir)), configs, packages).select("src", "ord", "specifier", "resolved_path")
+
+
+@query("SELECT 'n' || n_nationkey AS dir, 'b' || n_regionkey AS base_dir, 'x' || n_regionkey || '/*' AS target FROM nation")
+def jn5_inherited_configs(spark, sf_dir):
+    """JN5, SRC10: each nation's config extends its region's."""
+    n, key = t(spark, sf_dir, "nation"), lambda c: F.col(c).cast("string")
+    own = n.select(F.concat(F.lit("n"), key("n_nationkey"), F.lit("/tsconfig.json")).alias("path"), F.format_string('{"extends": "../tsconfig.r%d", } // own', "n_regionkey").alias("content"))
+    base = F.format_string('{"compilerOptions": {"baseUrl": "b%1$d", "paths": {"@/*": ["x%1$d/*"]}}}', "n_regionkey")
+    over = n.select(F.concat(F.lit("tsconfig.r"), key("n_regionkey"), F.lit(".json")).alias("path"), base.alias("content")).distinct()
+    found = config.configs(own.unionByName(over))
+    return found.select("dir", F.col("config.base_dir").alias("base_dir"), F.col("config.patterns")[0]["targets"][0].alias("target"))
+
+
+@query("SELECT '@o/' || n_name AS name, 'packages/p' || n_nationkey AS dir FROM nation")
+def src11_workspaces(spark, sf_dir):
+    """SRC11: a package for each nation below a listed folder, and others that no list names."""
+    n = t(spark, sf_dir, "nation")
+    path = lambda folder: F.format_string(f"{folder}/p%d/package.json", "n_nationkey").alias("path")
+    content = F.concat(F.lit('{"name": "@o/'), "n_name", F.lit('"}')).alias("content")
+    listed = spark.createDataFrame([("pnpm-workspace.yaml", "packages:\n  - 'packages/*' # all\n  - none\n")], "path string, content string")
+    return config.workspaces(spark, n.select(path("packages"), content).union(n.select(path("other"), content)).union(listed)).select("name", "dir")
+
+
+def _length_vectors(texts: list[str]) -> list[list[float]]:
+    return [[float(len(x))] for x in texts]
+
+
+@query("SELECT DISTINCT sha256('m' || chr(0) || substring(text, 1, 5000)) AS key, least(length(text), 5000)::DOUBLE AS first FROM documents WHERE length(text) > 0")
+def vec4_embed_missing(spark, sf_dir):
+    """VEC4, VEC5: an empty cache, and vectors that hold lengths."""
+    files = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    probed = E.probe(files, spark.createDataFrame([], schemas.EMBEDDING_CACHE), "m")
+    return E.embed_missing(probed, _length_vectors, "m").select("key", F.col("vec")[0].alias("first"))
+
+
+@query("SELECT count(*)::BIGINT AS hits, 0::BIGINT AS misses FROM documents WHERE length(text) > 0")
+def snk2_embedding_cache(spark, sf_dir):
+    """SNK2, SRC15, SRC12: the cache written, read again and probed."""
+    files = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    path = f"{shared_folder(spark)}/ctxloom/{spark.sparkContext.applicationId}/cache-{uuid.uuid4().hex}"
+    E.append_cache(E.embed_missing(E.probe(files, E.read_cache(spark, path, "m"), "m"), _length_vectors, "m"), path)
+    return E.counters(E.probe(files, E.read_cache(spark, path, "m"), "m"))
+
+
+@query(f"WITH {_SQL_FILES} SELECT path FROM files WHERE length(text) > 200 AND length(text) < 8000")
+def fl7_meaty(spark, sf_dir):
+    """FL7: files whose every lane has something; only the length of the patch tells them apart here."""
+    rows = _entries(spark, sf_dir).select("f.*")
+    rows = rows.withColumn("directImports", F.concat("directImports", "directImports"))
+    rows = rows.withColumn("semanticNeighbors", F.flatten(F.array_repeat("semanticNeighbors", 3)))
+    return rows.filter(B.meaty()).select("path")
+
+
+@query(f"WITH {_SQL_FILES} SELECT path, status FROM files WHERE path LIKE '%react/6.ts' ORDER BY ord LIMIT 1")
+def jn19_requested_file(spark, sf_dir):
+    """JN19: the file that a suffix asks for; the one row is the feature."""
+    return B.pick(_files(spark, sf_dir), "react/6.ts", F.lit(False)).select("path", "status")
+
+
+@query(f"WITH {_SQL_FILES} SELECT path, 2::INT AS changed, 3::INT AS every FROM files WHERE status <> 'deleted'")
+def fl10_symbol_counts(spark, sf_dir):
+    """FL10, SC15: files that declare something."""
+    f = _entries(spark, sf_dir).select("f.*").filter("status <> 'deleted'")
+    f = f.withColumn("changed", B.symbol_count(F.col("symbols"), "functions", "classes")).withColumn("every", B.symbol_count(F.col("symbols"), "exports", "functions", "classes"))
+    return f.filter(F.col("every") > 0).select("path", "changed", "every")
+
+
+@query("SELECT doc_id::VARCHAR AS name, 'Work in `/w`; all relative paths are below it.' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text AS content FROM documents")
+def rn8_preamble(spark, sf_dir):
+    """RN8, LM8: documents as prompts about a work tree."""
+    return render.with_preamble(t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content")), "/w")
+
+
+@query(
+    """SELECT 'rules-and-memory.md' AS name, '# Rules and memory' || chr(10) || chr(10) || '## Memory (`m.md`)' || chr(10) || '```' || chr(10) || '- keep it' || chr(10) || '```' || chr(10)
+  || string_agg(chr(10) || '## ' || n_name || chr(10) || '```' || chr(10) || substring(repeat(n_name || '.', 2000), 1, 8000) || chr(10) || '```' || chr(10), '' ORDER BY n_name) AS content FROM nation"""
+)
+def rn6_rules_and_memory(spark, sf_dir):
+    """RN6, LM9: a rule for each nation, over the cap, and a memory."""
+    entry = F.struct(F.col("n_name").alias("key"), F.repeat(F.concat("n_name", F.lit(".")), F.lit(2000)).alias("value"))
+    rules = t(spark, sf_dir, "nation").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("rules"))
+    note = F.struct(F.lit("m.md").alias("path"), F.lit(" - keep it ").alias("content"))
+    return render.rules_and_memory(rules.withColumn("memory", note))
