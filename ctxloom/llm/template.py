@@ -5,7 +5,9 @@
     {% set name = e %} {% generation %} ... {% endgeneration %} {# comment #}
 
 Expressions know literals, names, fields of mappings (``m.role``, ``m['role']``),
-``not and or == != < > <= >= in + - * %`` and filters (``e|trim``). There are no
+``not and or == != < > <= >= in + - * %`` and filters (``e|trim``). Strings can be joined by
+``+`` but not repeated or formatted, numbers stay under 2^63, and whatever goes wrong, in
+parsing, folding or rendering, is a ``TemplateError``. There are no
 calls, no attributes of objects and no imports, so a template reaches nothing but
 the values it is given. A template is parsed to a syntax tree, constants are
 folded (with dead branches and adjacent texts), and the tree becomes Python
@@ -101,11 +103,44 @@ _TOKEN = re.compile(
 )
 _ESCAPE = {"n": "\n", "t": "\t", "r": "\r"}
 _LEVELS = (("or",), ("and",), ("not",), ("==", "!=", "<", ">", "<=", ">=", "in"), ("+", "-"), ("*", "%"))
+_MOST = 1 << 63
+
+
+def _number(apply: Callable[[int, int], int]) -> Callable[[Any, Any], int]:
+    """Arithmetic of whole numbers under 2^63; not the formatting or repetition of strings."""
+
+    def run(a: Any, b: Any) -> int:
+        if not isinstance(a, int) or not isinstance(b, int):
+            raise TemplateError("not a number")
+        if abs(out := apply(a, b)) >= _MOST:
+            raise TemplateError("number out of range")
+        return out
+
+    return run
+
+
+def _plus(a: Any, b: Any) -> Any:
+    return a + b if isinstance(a, str) and isinstance(b, str) else _number(operator.add)(a, b)
+
+
+def _guarded(apply: Callable) -> Callable:
+    """The same, whose errors are the template's."""
+
+    def run(*values: Any) -> Any:
+        try:
+            return apply(*values)
+        except (TypeError, ValueError, ArithmeticError, AttributeError) as e:
+            raise TemplateError(str(e)) from e
+
+    return run
+
+
 _APPLY: dict[str, Callable] = {
     "==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt, "<=": operator.le,
-    ">=": operator.ge, "+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod,
+    ">=": operator.ge, "+": _plus, "-": _number(operator.sub), "*": _number(operator.mul), "%": _number(operator.mod),
     "in": lambda a, b: a in b,
 }
+_APPLY = {op: _guarded(apply) for op, apply in _APPLY.items()}
 FILTERS: dict[str, Callable[[Any], Any]] = {
     "trim": lambda x: str(x).strip(),
     "upper": lambda x: str(x).upper(),
@@ -279,7 +314,7 @@ def fold(tree: Any, filters: dict[str, Callable]) -> Any:
         case Unary(op, of):
             of = fold(of, filters)
             if isinstance(of, Const):
-                return Const((not of.value) if op == "not" else -of.value)
+                return Const((not of.value) if op == "not" else _APPLY["-"](0, of.value))
             return Unary(op, of)
         case Binary(op, left, right):
             left, right = fold(left, filters), fold(right, filters)
@@ -364,7 +399,7 @@ def _value(tree: Any, filters: dict[str, Callable]) -> Callable[[Env], Any]:
             return lambda env: not get(env)
         case Unary(_, of):
             get = _value(of, filters)
-            return lambda env: -get(env)
+            return lambda env: _APPLY["-"](0, get(env))
         case Binary("and", left, right):
             a, b = _value(left, filters), _value(right, filters)
             return lambda env: a(env) and b(env)
@@ -451,7 +486,7 @@ class Template:
     """A compiled template; ``render`` takes the values it may see."""
 
     def __init__(self, source: str, filters: dict[str, Callable[[Any], Any]] | None = None):
-        known = FILTERS | (filters or {})
+        known = {name: _guarded(apply) for name, apply in (FILTERS | (filters or {})).items()}
         self.tree = simplify(parse(source), known)
         self._run = _closure(self.tree, False, known)
 

@@ -545,6 +545,25 @@ def test_template_errors(bad):
         Template(bad)
 
 
+@pytest.mark.parametrize("bad", ["'a' * 400000000", "'%9999999d' % 1", "1 % 0", "1 + 'a'", "9999999999 * 9999999999", "- 'a'", "1 in 2", "1|length", "'a' < 1"])
+def test_template_limits(bad):
+    with pytest.raises(TemplateError):
+        Template("{{ " + bad + " }}")
+    first, rest = bad.split(" ", 1) if " " in bad and not bad.startswith("-") else ("", "")
+    if first:
+        value = int(first) if first.isdigit() else first.strip("'")
+        with pytest.raises(TemplateError):
+            "".join(p for p, _ in Template("{{ x " + rest + " }}").render(x=value))
+
+
+def test_long_conversations_repeats_and_clashes(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"turn {i} [INST]" * 9, i, "x") for i in range(3000)] + [(2, 0, "user", "same", 0, "x")] * 3
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns long, formatted string")
+    got = {r.conv_id: r for r in chatformat.format_conversations(docs).collect()}
+    assert chatformat.read_back(got[1].formatted) == [(r[2], r[3]) for r in rows[:3000]] and got[1].n_turns == 3000
+    assert chatformat.read_back(got[2].formatted) == [("user", "same")] * 3
+
+
 def test_template_sandbox():
     class Thing:
         secret = "s"
