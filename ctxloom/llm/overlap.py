@@ -11,8 +11,8 @@ of these pairs: at an overlap of 4/5 some ten of 64 bits differ in the mean. So
 is found by a prefix filter, among classes that are not linked yet. In any one order of all shingles, two sets of n
 and m that overlap by 4/5 share a shingle among the first n - ceil(4n/5) + 1 of
 the one and the first m - ceil(4m/5) + 1 of the other, so only what shares one is
-compared. The order puts rare shingles first, by counts of a sample in a table of
-``CELLS`` cells; sample and cells decide costs and no links. Of what shares a
+compared. The order puts rare shingles first, by counts over all texts in a table of
+``CELLS`` cells; the cells decide costs and no links. Of what shares a
 shingle, pairs are left out whose sizes rule the overlap out, or the parities of
 their sets' members over 512 cells: these differ in no more cells than the sets in
 members, and at 4/5 those are a ninth of n + m at most. What is left is verified.
@@ -45,8 +45,6 @@ SHINGLE = 5
 #: Bits in which SimHash fingerprints of candidates differ at most.
 DISTANCE = 3
 CELLS, SLICES = 1 << 22, 64
-#: Documents whose shingles are counted, in the mean, for the order.
-SAMPLE = 1 << 16
 #: Rounds go on while over this many pairs a row are left, and each leaves half of the last one's at most.
 PAIRS_A_ROW = 16
 #: Members of a bucket that a round compares with the others.
@@ -112,7 +110,7 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
-    """About how often each shingle stands in a sample of texts, or more, by the low bits of its hash."""
+    """In how many texts each shingle stands, or more, by the low bits of its hash; a task's share of a cell ends at 255."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.uint32)
@@ -129,9 +127,8 @@ def frequencies(docs: DataFrame) -> np.ndarray:
             total += np.frombuffer(cells.as_buffer(), np.uint8)
         return pa.table({"k": pa.array([table.column("k")[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
-    one_in = max(1, docs.count() // SAMPLE)
     bound_batches(docs.sparkSession)
-    parts = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text").mapInArrow(count, "k int, cells binary")
+    parts = docs.select("text").mapInArrow(count, "k int, cells binary")
     found = np.zeros((SLICES, CELLS // SLICES), np.uint32)
     for k, cells in parts.groupBy("k").applyInArrow(add, "k int, cells binary").collect():
         found[k] = np.frombuffer(cells, np.uint32)
