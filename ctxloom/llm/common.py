@@ -84,6 +84,15 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], tuple[str, Da
             remove(spark, path)
 
 
+def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``materialize(make())``, after which the tables that ``make`` wrote are removed."""
+    with scratch(spark) as write:
+        path, out = write(make())
+    if _scratch:
+        _scratch[-1].append(path)
+    return out
+
+
 def own_prefix(columns: list[str], wanted: str) -> str:
     """``wanted``, with underscores before it until no column begins with it."""
     while any(c.lower().startswith(wanted) for c in columns):

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, materialize, utf8, values
+from .common import alone, arrow_map, bound_batches, materialize, utf8, values
 from .simhash import BROADCAST_BYTES, ROW_BYTES, SEED, connected, first_of_each, majority, near_links
 
 SHINGLE = 5
@@ -242,15 +242,24 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose sets overlap by 4/5: both / (n + m - both) >= 4/5."""
-    pairs = materialize(pairs.distinct())
-    fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    wanted = materialize(named.join(fps, "fp").select("fp", F.col("first_id").alias("__id")))
-    texts = docs.select("doc_id", "text").join(_small(wanted.select("__id").distinct()), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    held = materialize(shingle_sets(texts).join(_small(wanted.select("fp")), "fp", "left_semi").dropDuplicates(["fp"]))
-    one = held.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
-    other = held.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(other, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return materialize(both.filter(9 * F.col("both") >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+
+    def links() -> DataFrame:
+        asked = materialize(pairs.distinct())
+        fps = asked.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        wanted = materialize(named.join(fps, "fp").select("fp", F.col("first_id").alias("__id")))
+        texts = docs.select("doc_id", "text").join(_small(wanted.select("__id").distinct()), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+        held = materialize(shingle_sets(texts).join(_small(wanted.select("fp")), "fp", "left_semi").dropDuplicates(["fp"]))
+        one = held.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+        other = held.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+        both = asked.join(one, "a").join(other, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+        return both.filter(9 * F.col("both") >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+    return alone(docs.sparkSession, links)
+
+
+def _roots(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """What one turn joins; what it doesn't is only compared once more."""
+    return alone(docs.sparkSession, lambda: connected(links, turns=1))
 
 
 def simhash_links(docs: DataFrame, named: DataFrame) -> DataFrame:
@@ -270,7 +279,7 @@ def overlap_links(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataF
     rows = materialize(shared.join(named.select("fp", "bits"), "fp").select("h", "fp", "n", "bits"))
     links, before, turn = simhash_links(docs, named), None, 0
     while True:
-        roots = materialize(connected(links, turns=1))  # what is not joined yet is only compared once more
+        roots = _roots(links, docs)
         now = rows.join(roots, rows["fp"] == roots["node"], "left").select("h", "fp", "n", "bits", F.coalesce("root", "fp").alias("root"))
         of = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h")
         of = of.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("c * c > same")
@@ -278,8 +287,7 @@ def overlap_links(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataF
         last = left <= PAIRS_A_ROW * n or (before is not None and 2 * left > before)
         now = now.withColumn("turn", F.xxhash64("fp", F.lit(turn)))
         found = _by_bucket(now, ["root"] if last else ["turn"], _crossing if last else _stars, "a long, b long")
-        found = _verified(found, docs, named)
-        links = links.unionByName(found)
+        links = links.unionByName(_verified(found, docs, named))
         if last:
             return links
         before, turn = left, turn + 1
@@ -289,7 +297,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the class), component_id and root of every document."""
     marked = materialize(marks(docs, frequencies(docs)))
     named = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits"), F.min("sim").alias("sim")))
-    roots = connected(overlap_links(docs, marked, named))
+    links = alone(docs.sparkSession, lambda: overlap_links(docs, marked, named))
+    roots = alone(docs.sparkSession, lambda: connected(links))
     linked = named.join(roots, named["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = materialize(linked.join(ids, "root").select("fp", "component_id", "root"))
@@ -298,4 +307,4 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of which each is the first of its component, with all their columns."""
-    return first_of_each(docs, near_copies(docs), classes)
+    return first_of_each(docs, lambda: near_copies(docs), classes)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, materialize, own_prefix, utf8, values
+from .common import alone, arrow_map, materialize, own_prefix, utf8, values
 
 _CHUNK = 1 << 16
 SEED = 42
@@ -332,28 +332,33 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     def mark(batch: pa.RecordBatch) -> pa.Array:
         return pa.array(np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], np.uint64).view(np.int64))
 
-    return first_of_each(docs, near_duplicates(docs, shingle, distance), mark)
+    return first_of_each(docs, lambda: near_duplicates(docs, shingle, distance), mark)
 
 
-def first_of_each(docs: DataFrame, found: DataFrame, mark: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
-    """The first document of each component in ``found`` (doc_id, fp, component_id, root).
+def first_of_each(docs: DataFrame, find: Callable[[], DataFrame], mark: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The first document of each component that ``find`` gives (doc_id, fp, component_id, root).
 
     Documents whose id is theirs alone are told apart by it. Rows that share an id, or
     have none, are told apart by their fingerprints as well, which ``mark`` gives, and of
     several that could stand for a component one stays.
     """
     own = own_prefix(docs.columns, "__near_")
-    rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("fp"))
-    first = first.withColumnsRenamed({"doc_id": "first_id"}).join(rows, F.col("first_id").eqNullSafe(F.col("doc_id")))
-    shared = (F.col("rows") > 1) | F.col("first_id").isNull()
-    first = first.select("first_id", "fp", "root", shared.alias("shared"))
-    first = materialize(first.withColumnsRenamed({c: own + c for c in first.columns}))
+
+    def firsts() -> DataFrame:
+        found = find()
+        rows = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+        first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id").agg(F.min("fp").alias("fp"))
+        first = first.withColumnsRenamed({"doc_id": "first_id"}).join(rows, F.col("first_id").eqNullSafe(F.col("doc_id")))
+        shared = (F.col("rows") > 1) | F.col("first_id").isNull()
+        first = first.select("first_id", "fp", "root", shared.alias("shared"))
+        return first.withColumnsRenamed({c: own + c for c in first.columns})
+
+    first = alone(docs.sparkSession, firsts)
     same = F.col("doc_id").eqNullSafe(F.col(f"{own}first_id"))
-    alone = first.filter(~F.col(f"{own}shared")).select(f"{own}first_id")
+    single = first.filter(~F.col(f"{own}shared")).select(f"{own}first_id")
     if first.count() * ROW_BYTES <= BROADCAST_BYTES:
-        alone = F.broadcast(alone)
-    once = docs.join(alone, same, "left_semi")
+        single = F.broadcast(single)
+    once = docs.join(single, same, "left_semi")
     again = first.filter(f"{own}shared")
     if again.isEmpty():
         return once
