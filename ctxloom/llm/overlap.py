@@ -22,7 +22,8 @@ shingles are dealt out once, and those of one class alone dropped there. The res
 makes buckets. A round compares a few members of each bucket with the others, so that
 a large group of near copies falls together without its pairs, and rounds go on
 while each halves the pairs that are left and many are; then all members of a bucket are compared
-that lie in different components. Nothing is capped.
+that lie in different components. Of these pairs a forest is verified first, and then
+what it has not joined, so that a group costs sets by its members and not by its pairs. Nothing is capped.
 
 Defined cases: null or empty texts have the empty set and are one class; fewer
 words than a shingle make one shingle; ids are treated as in ``simhash``.
@@ -257,6 +258,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
     return alone(docs.sparkSession, links)
 
 
+def _joined(pairs: DataFrame, links: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``links`` and verified ones of ``pairs`` that connect what all links among the pairs would.
+
+    Each class is verified with the least one of its pairs first; then pairs of classes that are
+    joined are left out, and the rest is verified.
+    """
+    pairs = materialize(pairs.distinct())
+    forest = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = links.unionByName(_verified(forest, docs, named))
+    roots = _roots(links, docs)
+    for end in "ab":
+        of = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(of, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    rest = pairs.filter("root_a <> root_b").select("a", "b").join(forest, ["a", "b"], "left_anti")
+    return links.unionByName(_verified(rest, docs, named))
+
+
 def _roots(links: DataFrame, docs: DataFrame) -> DataFrame:
     """What one turn joins; what it doesn't is only compared once more."""
     return alone(docs.sparkSession, lambda: connected(links, turns=1))
@@ -287,9 +305,9 @@ def overlap_links(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataF
         last = left <= PAIRS_A_ROW * n or (before is not None and 2 * left > before)
         now = now.withColumn("turn", F.xxhash64("fp", F.lit(turn)))
         found = _by_bucket(now, ["root"] if last else ["turn"], _crossing if last else _stars, "a long, b long")
-        links = links.unionByName(_verified(found, docs, named))
         if last:
-            return links
+            return _joined(found, links, docs, named)
+        links = links.unionByName(_verified(found, docs, named))
         before, turn = left, turn + 1
 
 
