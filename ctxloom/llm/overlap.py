@@ -19,11 +19,14 @@ members, and at 4/5 those are a ninth of n + m at most. What is left is verified
 
 Scale: texts are read once; where pairs are verified, those documents' again. First
 shingles are dealt out once, and those of one class alone dropped there. The rest
-makes buckets. A round compares a few members of each bucket with the others, so that
-a large group of near copies falls together without its pairs, and rounds go on
-while each halves the pairs that are left and many are; then all members of a bucket are compared
-that lie in different components. Of these pairs a forest is verified first, and then
-what it has not joined, so that a group costs sets by its members and not by its pairs. Nothing is capped.
+makes buckets. A pair meets in most of the shingles that it shares, but only the first
+of them in the order counts: there the places of both say how little they can have in common,
+and the buckets that they were in before differ. So a pair is made about once, and not
+in each bucket. A round compares a few members of each bucket with the others and verifies one pair
+of a member at most, so that a large group of near copies falls together without its pairs, and rounds go
+on while each takes a tenth off the pairs of members in different components and many are left; then all of these are compared.
+A forest of them is verified first, and then what it has not joined, so that a group costs sets
+by its members and not by its pairs. Nothing is capped.
 
 Defined cases: null or empty texts have the empty set and are one class; fewer
 words than a shingle make one shingle; ids are treated as in ``simhash``.
@@ -31,26 +34,29 @@ words than a shingle make one shingle; ids are treated as in ``simhash``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import alone, arrow_map, bound_batches, materialize, utf8, values
+from .common import alone, arrow_map, bound_batches, materialize, release_memory, utf8, values
 from .simhash import BROADCAST_BYTES, ROW_BYTES, SEED, connected, first_of_each, majority, near_links
 
 SHINGLE = 5
 #: Bits in which SimHash fingerprints of candidates differ at most.
 DISTANCE = 3
 CELLS, SLICES = 1 << 22, 64
-#: Rounds go on while over this many pairs a row are left, and each leaves half of the last one's at most.
-PAIRS_A_ROW = 16
+#: Rounds go on while over this many pairs a row are left, and each leaves nine tenths of the last one's at most.
+PAIRS_A_ROW = 8
 #: Members of a bucket that a round compares with the others.
 PIVOTS = 8
 _BLOCK = 1 << 16
+#: Pairs that a task holds, each once, before it sends them.
+_HELD = 1 << 20
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -161,9 +167,8 @@ def _by_bucket(rows: DataFrame, order: list[str], emit: Callable[[list[np.ndarra
     """What ``emit`` makes of whole buckets, given their columns in order."""
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         held = None
-        shown = lambda cols: (pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names) for out in emit(cols))
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
@@ -171,13 +176,33 @@ def _by_bucket(rows: DataFrame, order: list[str], emit: Callable[[list[np.ndarra
             cut = int(change[-1]) + 1 if len(change) else 0
             held = [c[cut:] for c in cols]
             if cut:
-                yield from shown([c[:cut] for c in cols])
+                yield from emit([c[:cut] for c in cols])
         if held is not None and len(held[0]):
-            yield from shown(held)
+            yield from emit(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for out in itertools.chain(whole(batches), [None]):
+            if out is not None:
+                found.append(out)
+                size += len(out[0])
+            if found and (out is None or size >= _HELD):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _once([np.concatenate(x) for x in zip(*found, strict=True)])], names=names)
+                found, size = [], 0
+        release_memory()
 
     return rows.repartition("h").sortWithinPartitions("h", *order).mapInArrow(run, schema)
 
 
+def _once(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Each row once, in the order of its columns: a pair meets in most of the shingles that it shares."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([np.diff(c) != 0 for c in cols])
+    return [c[new] for c in cols]
+
+
 def _bounds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(h)) + 1
     return np.concatenate([[0], edge]), np.concatenate([edge, [len(h)]])
@@ -185,79 +210,111 @@ def _bounds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _shared(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
     """Rows of buckets, in order of size, each class once, that stand beside another of a size near enough."""
-    h, fp, _ = cols
+    h, fp, _, _ = cols
     new = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(fp) != 0)])
-    h, fp, n = (c[new] for c in cols)
+    h, fp, n, at = (c[new] for c in cols)
     near = (np.diff(h) == 0) & (5 * n[:-1] >= 4 * n[1:])
     many = np.concatenate([near, [False]]) | np.concatenate([[False], near])
-    yield [h[many], fp[many], n[many]]
-
-
-def _with_words(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Columns h, fp, n, parities as eight words a row, and root."""
-    h, fp, n, bits, root, _ = cols
-    return [h, fp, n, np.frombuffer(b"".join(bits), np.uint64).reshape(-1, 8), root]
+    yield [h[many], fp[many], n[many], at[many]]
 
 
 def _stars(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """A bucket's first members, ``PIVOTS`` at most, with each of another component."""
-    h, fp, n, bits, root = _with_words(cols)
+    """Each member (b) with those of its bucket's ``PIVOTS`` first members (a) that it may be linked with."""
+    h, fp, n, at, before, root, _ = cols
     starts, ends = _bounds(h)
+    place, size = np.arange(len(h)) - np.repeat(starts, ends - starts), np.repeat(ends - starts, ends - starts)
     for k in range(PIVOTS):
-        at = np.repeat(starts + k, ends - starts)
-        after = np.flatnonzero(np.arange(len(h)) > at)
-        yield _pairs(fp, n, bits, root, at[after], after)
+        b = np.flatnonzero((place > k) & (size > k + 1))
+        a = b - place[b] + k
+        may = _may(h, n, at, before, root, a, b)
+        yield [fp[b[may]], fp[a[may]]]
 
 
 def _crossing(cols: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """All pairs of a bucket's members in different components, which lie in order of the latter."""
-    h, fp, n, bits, root = _with_words(cols)
+    """All pairs of a bucket's members that may be linked; those of a component lie together."""
+    h, fp, n, at, before, root, bits = cols
+    words = _words(bits)
     new = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(root) != 0)])
     group = np.flatnonzero(new)
     after = np.concatenate([group[1:], [len(h)]])[np.cumsum(new) - 1]  # the end of a member's component in its bucket
     starts, ends = _bounds(h)
     left = np.repeat(ends, ends - starts) - after
-    at, done = 0, np.cumsum(left)
-    while at < len(h):
-        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + _BLOCK, "right")))
-        many = left[at:to]
+    here, done = 0, np.cumsum(left)
+    while here < len(h):
+        to = max(here + 1, int(np.searchsorted(done, (done[here - 1] if here else 0) + _BLOCK, "right")))
+        many = left[here:to]
         if many.any():
-            a = np.repeat(np.arange(at, to), many)
-            b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(after[at:to], many)
-            yield _pairs(fp, n, bits, root, a, b)
-        at = to
+            a = np.repeat(np.arange(here, to), many)
+            b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(after[here:to], many)
+            may = _may(h, n, at, before, root, a, b)
+            a, b = a[may], b[may]
+            may = _near(words[a], words[b], n[a] + n[b])
+            one, other = fp[a[may]], fp[b[may]]
+            yield [np.maximum(one, other), np.minimum(one, other)]
+        here = to
+
+
+def _may(h, n, at, before, root, a, b) -> np.ndarray:
+    """Which pairs in different components may overlap by 4/5 and have here the first shingle that they share.
+
+    They share none before if this is it, so what stands before their places in the order is
+    not in both; and it is not the first one if the bucket that either was in before is the same.
+    """
+    both = 9 * np.minimum(n[a] - at[a], n[b] - at[b])
+    return (root[a] != root[b]) & (both >= 4 * (n[a] + n[b])) & ((before[a] != before[b]) | (before[a] == h[a]))
+
+
+def _words(bits) -> np.ndarray:
+    """Parities as eight words a row."""
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, 8)
 
 
-def _pairs(fp, n, bits, root, a, b) -> list[np.ndarray]:
-    """Pairs in different components that sizes and parities do not rule out."""
-    may = (root[a] != root[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
-    a, b = a[may], b[may]
-    may = 9 * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b]
-    a, b = fp[a[may]], fp[b[may]]
-    return [np.minimum(a, b), np.maximum(a, b)]
+def _near(one: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs the parities of two sets, whose sizes are given as sums, don't rule out."""
+    return 9 * np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64) <= sizes
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df
 
 
+def _likely(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that the parities don't rule out."""
+    for end in "ab":
+        pairs = pairs.join(named.select(F.col("fp").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+
+    def make():
+        def each(batch: pa.RecordBatch) -> dict:
+            one, other = (_words(values(batch, f"bits_{x}").to_pylist()) for x in "ab")
+            may = pa.array(_near(one, other, values(batch, "n_a").to_numpy() + values(batch, "n_b").to_numpy()))
+            return {x: values(batch, x).filter(may) for x in "ab"}
+
+        return each
+
+    return arrow_map(pairs, make, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose sets overlap by 4/5: both / (n + m - both) >= 4/5."""
+    """Of written pairs (a, b), those whose sets overlap by 4/5: both / (n + m - both) >= 4/5."""
 
     def links() -> DataFrame:
-        asked = materialize(pairs.distinct())
-        fps = asked.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        fps = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
         wanted = materialize(named.join(fps, "fp").select("fp", F.col("first_id").alias("__id")))
         texts = docs.select("doc_id", "text").join(_small(wanted.select("__id").distinct()), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
         held = materialize(shingle_sets(texts).join(_small(wanted.select("fp")), "fp", "left_semi").dropDuplicates(["fp"]))
         one = held.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
         other = held.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-        both = asked.join(one, "a").join(other, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+        both = pairs.join(one, "a").join(other, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
         return both.filter(9 * F.col("both") >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
     return alone(docs.sparkSession, links)
 
 
+def _forest(pairs: DataFrame) -> DataFrame:
+    """The least pair of each class b."""
+    return materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+
+
 def _joined(pairs: DataFrame, links: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
     """``links`` and verified ones of ``pairs`` that connect what all links among the pairs would.
 
@@ -265,13 +322,13 @@ def _joined(pairs: DataFrame, links: DataFrame, docs: DataFrame, named: DataFram
     joined are left out, and the rest is verified.
     """
     pairs = materialize(pairs.distinct())
-    forest = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    forest = _forest(pairs)
     links = links.unionByName(_verified(forest, docs, named))
     roots = _roots(links, docs)
     for end in "ab":
         of = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        pairs = pairs.join(of, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    rest = pairs.filter("root_a <> root_b").select("a", "b").join(forest, ["a", "b"], "left_anti")
+        pairs = pairs.join(_small(of), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    rest = materialize(pairs.filter("root_a <> root_b").select("a", "b").join(forest, ["a", "b"], "left_anti"))
     return links.unionByName(_verified(rest, docs, named))
 
 
@@ -287,34 +344,40 @@ def simhash_links(docs: DataFrame, named: DataFrame) -> DataFrame:
     ends = [probes.select(F.col("sim").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
     near = found.join(ends[0], "a").join(ends[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     equal = named.join(probes, "sim").filter("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
-    return _verified(near.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, named)
+    pairs = near.unionByName(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return _verified(materialize(pairs.distinct()), docs, named)
+
+
+def bucket_rows(marked: DataFrame) -> DataFrame:
+    """Members (h, fp, n, at, before) of buckets of two classes and more: the class's place of h, and its last bucket before."""
+    firsts = marked.select(F.posexplode("firsts").alias("at", "h"), "fp", "n").select("h", "fp", "n", "at")
+    shared = _by_bucket(firsts, ["n", "fp"], _shared, "h long, fp long, n long, at int")
+    last = F.lag("h").over(Window.partitionBy("fp").orderBy("at"))
+    return materialize(shared.withColumn("before", F.coalesce(last, "h")))
 
 
 def overlap_links(docs: DataFrame, marked: DataFrame, named: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect all classes whose sets overlap by 4/5 or more."""
-    firsts = marked.select(F.explode("firsts").alias("h"), "fp", "n")
-    shared = materialize(_by_bucket(firsts, ["n", "fp"], _shared, "h long, fp long, n long"))
-    rows = materialize(shared.join(named.select("fp", "bits"), "fp").select("h", "fp", "n", "bits"))
+    rows = bucket_rows(marked)
     links, before, turn = simhash_links(docs, named), None, 0
     while True:
-        roots = _roots(links, docs)
-        now = rows.join(roots, rows["fp"] == roots["node"], "left").select("h", "fp", "n", "bits", F.coalesce("root", "fp").alias("root"))
+        roots = _small(_roots(links, docs))
+        now = rows.join(roots, rows["fp"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "fp").alias("root"))
         of = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("h")
         of = of.agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same")).filter("c * c > same")
         n, left = of.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("same")) / 2), F.lit(0))).first()
-        last = left <= PAIRS_A_ROW * n or (before is not None and 2 * left > before)
-        now = now.withColumn("turn", F.xxhash64("fp", F.lit(turn)))
-        found = _by_bucket(now, ["root"] if last else ["turn"], _crossing if last else _stars, "a long, b long")
-        if last:
-            return _joined(found, links, docs, named)
-        links = links.unionByName(_verified(found, docs, named))
+        if left <= PAIRS_A_ROW * n or (before is not None and 10 * left > 9 * before):
+            now = now.join(_small(named.select("fp", "bits")), "fp").select(*now.columns, "bits")
+            return _joined(_by_bucket(now, ["root"], _crossing, "b long, a long"), links, docs, named)
+        found = _by_bucket(now.withColumn("turn", F.xxhash64("fp", F.lit(turn))), ["turn", "fp"], _stars, "b long, a long")
+        links = links.unionByName(_verified(_forest(_likely(found.distinct(), named)), docs, named))
         before, turn = left, turn + 1
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the class), component_id and root of every document."""
     marked = materialize(marks(docs, frequencies(docs)))
-    named = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits"), F.min("sim").alias("sim")))
+    named = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("sim").alias("sim")))
     links = alone(docs.sparkSession, lambda: overlap_links(docs, marked, named))
     roots = alone(docs.sparkSession, lambda: connected(links))
     linked = named.join(roots, named["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))

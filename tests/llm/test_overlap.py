@@ -85,3 +85,29 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
     ids = [r.doc_id for r in rows]
     assert ids.count(1) == 1 and 8 not in ids and len(ids) == len(set(ids)) and set(rows[0].asDict()) == set(odd_docs.columns)
     assert overlap.keep_one(no_docs).collect() == []
+
+
+def crowd(rng, members):
+    """Texts of which any two have much in common, and some four fifths of it: each has a word or two of a common text changed."""
+    base = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(160)]
+    out = []
+    for _ in range(members):
+        copy = list(base)
+        for at in rng.sample(range(160), rng.choice((1, 2))):
+            copy[at] = "".join(rng.choices("klmnop", k=6))
+        out.append(" ".join(copy))
+    return dict(enumerate(out))
+
+
+def test_pairs_are_made_about_once(spark):
+    """A pair meets in most of the shingles that it shares; what is made of it there doesn't grow with them."""
+    texts = crowd(random.Random(11), 40)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marked = overlap.marks(docs, overlap.frequencies(docs)).cache()
+    rows = overlap.bucket_rows(marked).join(marked.select("fp", "bits"), "fp").selectExpr("h", "fp", "n", "at", "before", "fp root", "bits")
+    made = [(r.a, r.b) for p in [overlap._by_bucket(rows, ["root"], overlap._crossing, "b long, a long")] for r in p.collect()]
+    sets, fps = {i: plain_shingles(x) for i, x in texts.items()}, {r.doc_id: r.fp for r in marked.collect()}
+    links = {tuple(sorted((fps[i], fps[j]))) for i in texts for j in texts if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(links) > 300 and links <= set(made)
+    meet = sum(r["count"] * (r["count"] - 1) // 2 for r in rows.groupBy("h").count().collect())
+    assert meet > 10 * len(links) and len(made) < 3 * len(links)
