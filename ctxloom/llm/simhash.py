@@ -18,8 +18,8 @@ link a member. Buckets over ``bucket_limit`` are dealt anew: their members agree
 key's bits and differ in at most tau of the rest, so the rest is cut into tau + 1
 parts, one of which agrees; this goes on until the bucket is small or so few
 bits are left that the number of distinct fingerprints is bounded. Nothing is
-capped. Components come from alternating large and small stars on Parquet tables
-in the shared folder.
+capped. Components of up to ``TASK_LINKS`` links, counted first, are found in one task;
+of more by alternating large and small stars on Parquet tables in the shared folder.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle; equal texts and repeated
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alone, arrow_map, materialize, own_prefix, utf8, values
+from .common import alone, arrow_map, materialize, own_prefix, release_memory, utf8, values
 
 _CHUNK = 1 << 16
 SEED = 42
@@ -47,6 +47,8 @@ SEED = 42
 KEY_COST, PAIR_COST = 20.0, 0.05
 #: Up to this measured size the ids that stay go to every executor; beyond it texts meet them by id.
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 100
+#: Up to this many links are joined in one task, in some 50 MB.
+TASK_LINKS = 1 << 19
 #: Buckets stop being dealt anew when this few bits may still differ.
 LAST_BITS = 12
 
@@ -284,9 +286,41 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
+def _least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (u, v), and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root, (u, v) = np.arange(len(nodes)), ends.reshape(2, -1)
+    while True:
+        u, v = root[u], root[v]
+        apart = u != v
+        if not apart.any():
+            return nodes, nodes[root]
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(node, root) of edges (u, v) that one task can hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if held:
+            u, v = map(np.concatenate, zip(*held, strict=True))
+            nodes, root = _least_reached(u, v)
+            led = nodes != root
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[led]), pa.array(root[led])], names=["node", "root"])
+        release_memory()
+
+    return materialize(edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long"))
+
+
 def connected(links: DataFrame, turns: int | None = None) -> DataFrame:
-    """(node, root): the smallest node that each linked node reaches; after ``turns``, if given, one that it reaches."""
+    """(node, root): the smallest node that each linked node but that one reaches; after ``turns``, if given, one that it reaches."""
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if edges.count() <= TASK_LINKS:
+        return _in_one_task(edges)
     while turns != 0 and not (turns is None and _settled(edges)):
         turns = None if turns is None else turns - 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
