@@ -163,3 +163,17 @@ def test_the_rest_stands_alone():
             if name.endswith(".py"):
                 with open(os.path.join(folder, name), encoding="utf-8") as f:
                     assert "llm" not in f.read(), name
+
+
+def test_passes_of_repeats_leave_no_shuffle_files(spark, odd_docs):
+    """Only the last pass's shuffle is left to the reader of the result; what the passes before wrote is gone."""
+
+    def files():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(i).getName() for i in range(blocks.size()) if blocks.apply(i).length() > 1000}
+
+    before, key = {x for x in files() if x.startswith("shuffle_")}, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(key, None)
+    rows = substrings.remove_repeats(odd_docs)
+    assert {x for x in files() if x.startswith("shuffle_")} <= before and spark.conf.get(key, None) == kept
+    assert rows.count() == 11
